@@ -221,12 +221,12 @@ def hot_update_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.update_answers(t.stored("edges"), t["hot_updates"])
 
 
-@query(_with(ctes("edges", "hot_updates") + [_VERSIONS.format(up="hot_updates")], "SELECT id, u, v, road_type, oneway, length, active, CASE WHEN valid_from = -1 THEN NULL ELSE valid_from END AS valid_from, valid_to FROM versions"))
+@query(_with(ctes("edges", "hot_updates") + [_VERSIONS.format(up="hot_updates")], "SELECT id, u, v, road_type, oneway, length, active, valid_from, valid_to FROM versions"))
 def edge_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U3, W2, W4."""
     t = Tables(spark, sf_dir)
     out = updates.edge_versions(t.stored("edges"), t["hot_updates"])
-    return out.withColumn("valid_from", F.when(F.col("valid_from") > updates.FIRST, F.col("valid_from")))
+    return out.withColumn("valid_from", F.greatest("valid_from", F.lit(-1).cast("long")))
 
 
 _FINAL = "SELECT id, u, v, road_type, oneway, length, active FROM versions WHERE valid_to = 9223372036854775807"
