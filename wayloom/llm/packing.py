@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,18 +20,27 @@ from . import common
 END_ID = 1
 
 
+#: A full stop or comma that ends a part after a letter is a token run of its own.
+_CLOSING = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=[ \n]|\Z)")
+
+#: Stands between parts that are encoded at once; parts that hold it are encoded alone.
+_BETWEEN = "<|endoftext|>"
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer that treats white space as nothing but a border.
+    """Ids of whole texts by a lower-case tokenizer to which white space is nothing but a border.
 
-    Texts are split at spaces and line breaks, and each distinct part is encoded
-    once and remembered, at most ``most`` parts at a time.
+    Texts are split at spaces, line breaks and before closing stops and commas,
+    A-Z taken as a-z, which leaves the ids as they are; each distinct part is then
+    encoded once and remembered, at most ``most`` parts at a time.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool, self.most = Tokenizer.from_file(path), most
+        self.between = self.tool.token_to_id(_BETWEEN)
         self.clear()
 
     def clear(self) -> None:
@@ -41,22 +51,33 @@ class Encoder:
         self.used = 0
 
     def _learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 4096):
-            own = parts[at : at + 4096]
-            for part, e in zip(own, self.tool.encode_batch(own, add_special_tokens=False)):
-                k, n = len(self.index), len(e.ids)
-                if k >= len(self.begin):
-                    self.begin, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.size))
-                while self.used + n > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used : self.used + n] = e.ids
-                self.begin[k], self.size[k] = self.used, n
-                self.used += n
-                self.index[part] = k
+        plain = [p for p in parts if "<|" not in p]
+        odd = [p for p in parts if "<|" in p]
+        own = [np.array(self.tool.encode(_BETWEEN.join(plain), add_special_tokens=False).ids, np.uint32)] if plain else []
+        if plain:
+            cuts = np.concatenate([[-1], np.flatnonzero(own[0] == self.between), [len(own[0])]])
+            sizes = np.diff(cuts) - 1
+            own[0] = own[0][own[0] != self.between]
+        else:
+            sizes = np.zeros(0, np.int64)
+        more = [np.array(self.tool.encode(p, add_special_tokens=False).ids, np.uint32) for p in odd]
+        ids = np.concatenate(own + more)
+        sizes = np.concatenate([sizes, np.array([len(m) for m in more], np.int64)])
+        k, n = len(self.index), len(sizes)
+        while k + n > len(self.begin):
+            self.begin, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[k : k + n] = sizes
+        self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.index.update(zip(plain + odd, range(k, k + n)))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of ``text``, with the closing id."""
-        parts = text.replace("\n", " ").split(" ")
+        lower = text.lower() if text.isascii() else text.encode().lower().decode()
+        parts = _CLOSING.sub(r" \1", lower).replace("\n", " ").split(" ")
         if len(self.index) > self.most:
             self.clear()
         index = self.index
