@@ -1,0 +1,53 @@
+"""The pipeline's stages against plain versions on a small corpus."""
+
+from __future__ import annotations
+
+import pytest
+
+pytest.importorskip("wayloom.llm")
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+from tokenizers import Tokenizer  # noqa: E402
+
+from wayloom.llm import language, quality, queries  # noqa: E402
+from wayloom.llm.common import scratch  # noqa: E402
+
+from .test_documents import _check_packing, _components  # noqa: E402
+from .test_text_operators import _windows, low  # noqa: E402
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    import re
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out, columns, at = [], docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES:
+        path = scratch(spark)
+        stage(spark, at, sf).write.parquet(path)
+        at = spark.read.parquet(path)
+        out.append(at)
+        assert name == "packing" or at.columns == columns
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    tools = model.compressors()
+    want = {i: t for i, t in rows.items() if model.score(model.difference((t or "").encode(), tools)) >= 0.7}
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    assert ids(out[0]) == set(want) and len(want) > 0.7 * len(rows)
+    langs = language.fit(out[0])
+    told = {i: langs.predict(t) for i, t in want.items()}
+    want = {i: t for i, t in want.items() if told[i][0] != "und" and told[i][1] >= 0.5}
+    assert ids(out[1]) == set(want)
+    groups = _components(list(want.items()), 80)
+    want = {i: t for i, t in want.items() if groups[i][1] == i}
+    assert ids(out[2]) == set(want)
+    wins = _windows([tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()])
+    sizes = {len(w) for w in wins}
+
+    def clean(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
+        return not any(tuple(w[k : k + m]) in wins for m in sizes for k in range(len(w) - m + 1))
+
+    want = {i: t for i, t in want.items() if clean(t)}
+    assert ids(out[3]) == set(want)
+    _check_packing(out[4].collect(), want, Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json")), 2048)
+    assert ids(out[4]) == set(want)
