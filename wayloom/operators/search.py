@@ -15,7 +15,7 @@ CONSTRAINTS = ("forbidden_nodes", "forbidden_road_types", "forbidden_edges", "se
 
 
 #: Edges followed between two looks at the labels, where edges are broadcast.
-HOPS = 5
+HOPS = 6
 
 
 def allowed(columns: set[str], have: set[str], edge: Callable[[str], Column] = F.col) -> Column:
@@ -47,7 +47,7 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
     for weights that are not negative and for arrival times, where leaving later
     never means arriving earlier. Rounds end when nothing improves. Few edges are
     broadcast as neighbour lists, and a round then follows ``HOPS`` of
-    them in one plan; many are partitioned once by ``src`` and kept, and a
+    them in one task per group of searches; many are partitioned once by ``src`` and kept, and a
     round moves the improved labels alone.
     """
     columns = set(searches.columns)
@@ -106,7 +106,8 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
 
     while True:
         if near:
-            after = bounded(done)
+            # by search, so that no hop shuffles: a search has at most a label for each node of a small graph
+            after = bounded(done).repartition("search_id")
             for _ in range(HOPS):
                 after = hop(after)
         else:
