@@ -50,19 +50,26 @@ class Encoder:
         self.size = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, each one run of letters, and how many each has: the tokenizer numbers such runs itself."""
+        got = self.tool.encode(" ".join(parts), add_special_tokens=False)
+        return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(parts))
+
+    def _marked(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts of any kind, with a special token between them."""
+        ids = np.array(self.tool.encode(_BETWEEN.join(parts), add_special_tokens=False).ids, np.uint32)
+        at = ids == self.between
+        return ids[~at], np.diff(np.concatenate([[-1], np.flatnonzero(at), [len(ids)]])) - 1
+
     def _learn(self, parts: list[str]) -> None:
-        plain = [p for p in parts if "<|" not in p]
-        odd = [p for p in parts if "<|" in p]
-        own = [np.array(self.tool.encode(_BETWEEN.join(plain), add_special_tokens=False).ids, np.uint32)] if plain else []
-        if plain:
-            cuts = np.concatenate([[-1], np.flatnonzero(own[0] == self.between), [len(own[0])]])
-            sizes = np.diff(cuts) - 1
-            own[0] = own[0][own[0] != self.between]
-        else:
-            sizes = np.zeros(0, np.int64)
-        more = [np.array(self.tool.encode(p, add_special_tokens=False).ids, np.uint32) for p in odd]
-        ids = np.concatenate(own + more)
-        sizes = np.concatenate([sizes, np.array([len(m) for m in more], np.int64)])
+        kinds: tuple[list[str], ...] = ([], [], [])
+        for p in parts:
+            kinds[0 if p.isalpha() and (p.isascii() or (max(p) < "\u0250" and "\u0130" not in p)) else 1 if "<|" not in p else 2].append(p)
+        made = [f(own) for f, own in ((self._together, kinds[0]), (self._marked, kinds[1])) if own]
+        for p in kinds[2]:
+            alone = np.array(self.tool.encode(p, add_special_tokens=False).ids, np.uint32)
+            made.append((alone, np.array([len(alone)])))
+        ids, sizes = (np.concatenate(x) for x in zip(*made))
         k, n = len(self.index), len(sizes)
         while k + n > len(self.begin):
             self.begin, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.size))
@@ -72,7 +79,7 @@ class Encoder:
         self.size[k : k + n] = sizes
         self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
-        self.index.update(zip(plain + odd, range(k, k + n)))
+        self.index.update(zip(kinds[0] + kinds[1] + kinds[2], range(k, k + n)))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of ``text``, with the closing id."""
