@@ -8,6 +8,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ class Encoder:
     encoded once and remembered, at most ``most`` parts at a time.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,11 +88,12 @@ class Encoder:
         parts = _CLOSING.sub(r" \1", lower).replace("\n", " ").split(" ")
         if len(self.index) > self.most:
             self.clear()
-        index = self.index
-        new = [p for p in dict.fromkeys(parts) if p not in index]
-        if new:
-            self._learn(new)
-        k = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+        k = np.fromiter(map(self.index.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(k < 0)
+        if len(missing):
+            new = [parts[i] for i in missing]
+            self._learn(list(dict.fromkeys(new)))
+            k[missing] = list(map(self.index.__getitem__, new))
         size = self.size[k]
         ends = np.cumsum(size)
         total = int(ends[-1])
