@@ -236,3 +236,15 @@ def test_fold_events(spark):
     df = spark.createDataFrame(log, "conv_id long, message long, copy int, seq int, kind string, role string, text string")
     got = {r["message"]: (r["role"], r["text"]) for r in chat.fold(df).collect()}
     assert got == {0: ("user", "Ef"), 1: ("assistant", "final"), 2: (None, "no role")}
+
+
+@pytest.mark.parametrize("unit_docs", [1000, 2])
+def test_keep_first_keeps_one_row_of_each_group(spark, unit_docs):
+    a, b, c, lone = _family(4, 1, 60, 1)[0], _family(5, 1, 60, 1)[0], _family(6, 1, 60, 1)[0], _family(7, 1, 60, 1)[0]
+    # repeated rows of the smallest id; a group with null ids; an id with a linked and an unlinked text, and one with two linked ones
+    rows = [(1, a), (1, a), (1, a), (2, a + " z"), (None, b), (None, b), (7, b), (8, b + " z"), (3, c), (9, c), (9, lone), (9, None), (9, None), (3, c + " y")]
+    kept = near_duplicates.keep_first(frame(spark, rows), unit_docs=unit_docs, pivots=1)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    groups = [("a", [r for r in got if r[1] and r[1].startswith(a)]), ("b", [r for r in got if r[1] and r[1].startswith(b)]), ("c", [r for r in got if r[1] and r[1].startswith(c)])]
+    assert {k: [i for i, _ in own] for k, own in groups} == {"a": [1], "b": [None], "c": [3]}
+    assert sorted(r for r in got if r[1] == lone) == [(9, lone)] and got.count((9, None)) == 2 and len(got) == 6

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -222,11 +223,41 @@ def texts_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str, width:
     return found.join(members, ["id", "key"]).dropDuplicates(["id", "key"])
 
 
-def components(
+def _grouped(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85,
     bands: int = 36, rows: int = 7, unit_docs: int = 1000, unit_shingles: int = 1_500_000, pivots: int = 16,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    """id, n, key of every row, and first_id, first_key: the smallest id of its component and the set of a row with it.
+
+    Both are null for rows that are alone. An id may have rows of several sets:
+    classes are told apart by a number of their own (node), not by an id.
+    """
+    signed = common.cut(signatures(docs, doc_id, text, width, bands, rows))
+    sets = signed.select("id", "n", "key")
+    each = signed.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    classes = common.cut(each.withColumn("node", F.monotonically_increasing_id()))
+    keyed = classes.select("node", F.explode("bands").alias("band"))
+    heads = keyed.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "head")
+    star = keyed.join(heads, "band").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    blocks = connected(star).withColumnRenamed("root", "block")
+    sized = blocks.join(classes.select("node", "id", "key", "n"), "node")
+    members = common.cut(sized.join(sized.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")), "block"))
+    bodies = common.cut(texts_of(docs, members, doc_id, text, width).drop("id").withColumnRenamed("node", "id"))
+    small = (F.col("m") <= unit_docs) & (F.col("s") <= unit_shingles)
+    verified = common.cut(check_units(bodies.filter(small).select(F.struct("block", F.lit(0).alias("i"), F.lit(0).alias("j")).cast("string").alias("unit"), "id", F.lit(True).alias("asks"), "text"), width, percent))
+    large = bodies.filter(~small).withColumn("chunks", F.greatest(F.ceil(F.col("m") / unit_docs), F.ceil(F.col("s") / unit_shingles)).cast("int"))
+    if not members.filter(~small).isEmpty():
+        verified = verified.unionByName(_large_blocks(large, width, percent, pivots, unit_docs, unit_shingles))
+    roots = connected(verified)
+    linked = classes.select("node", "id", "key", "copies").join(roots, "node", "left")
+    first = linked.filter("root is not null").groupBy("root").agg(F.min(F.struct("id", "key")).alias("f"))
+    # of the classes, only those with copies or links need to be told to the rows
+    told = linked.filter("copies > 1 or root is not null").join(first, "root", "left").select("key", F.coalesce("f.id", "id").alias("first_id"), F.coalesce("f.key", "key").alias("first_key"))
+    return sets.join(told, "key", "left")
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; ``options`` and their values are those of ``_grouped``.
 
     Texts are linked if 100 * intersection >= ``percent`` * union of their sets
     of ``width``-word shingles; a component's id is its smallest document id.
@@ -245,28 +276,9 @@ def components(
     Repeated rows keep a row each. Null ids count as one smallest id, and come
     back as null. An empty table gives an empty result.
     """
-    signed = common.cut(signatures(docs, doc_id, text, width, bands, rows))
-    sets = signed.select("id", "n", "key")
-    classes = common.cut(signed.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")))
-    keyed = classes.select("id", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "head")
-    star = keyed.join(heads, "band").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    blocks = connected(star).withColumnRenamed("node", "id").withColumnRenamed("root", "block")
-    sized = blocks.join(classes.select("id", "key", "n"), "id")
-    members = common.cut(sized.join(sized.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")), "block"))
-    bodies = common.cut(texts_of(docs, members, doc_id, text, width))
-    small = (F.col("m") <= unit_docs) & (F.col("s") <= unit_shingles)
-    verified = common.cut(check_units(bodies.filter(small).select(F.struct("block", F.lit(0).alias("i"), F.lit(0).alias("j")).cast("string").alias("unit"), "id", F.lit(True).alias("asks"), "text"), width, percent))
-    large = bodies.filter(~small).withColumn("chunks", F.greatest(F.ceil(F.col("m") / unit_docs), F.ceil(F.col("s") / unit_shingles)).cast("int"))
-    if not members.filter(~small).isEmpty():
-        verified = verified.unionByName(_large_blocks(large, width, percent, pivots, unit_docs, unit_shingles))
-    roots = connected(verified)
-    # of the classes, only those with copies or links need to be told to the rows
-    labelled = classes.select("key", "id", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    told = labelled.filter("copies > 1 or root is not null").select("key", F.coalesce("root", "id").alias("root"))
-    out = sets.join(told, "key", "left")
     back = lambda c: F.nullif(c, F.lit(NO_ID).cast("long"))
-    return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("root", "id")).alias("component_id"))
+    out = _grouped(docs, doc_id, text, **options)
+    return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("first_id", "id")).alias("component_id"))
 
 
 def _large_blocks(large: DataFrame, width: int, percent: int, pivots: int, unit_docs: int, unit_shingles: int) -> DataFrame:
@@ -297,30 +309,45 @@ def _large_blocks(large: DataFrame, width: int, percent: int, pivots: int, unit_
     return found.unionByName(common.cut(check_units(second, width, percent)))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns of ``docs``.
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, **options) -> DataFrame:
+    """One row of each component, one with the smallest id, with all columns of ``docs``.
 
-    Rows that the bit map of the ids to drop clears pass without a shuffle; only
-    the others are held against the ids themselves.
+    Rows go by id and shingle set, so an id's other texts stay where they are
+    linked to nothing; null ids count as one smallest id. Of several rows with
+    the id and set to keep, one stays. Rows without words are linked to nothing.
+
+    Rows that the bit map of the ids in question clears pass without a shuffle;
+    only the others are held against ids and sets.
     """
     spark, bits = docs.sparkSession, 1 << 26
-    dropped = components(docs, doc_id, text, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    dropped = common.cut(dropped)
-    shared = spark.sparkContext.broadcast(_bitmap(dropped, bits))
+    each = _grouped(docs, doc_id, text, width=width, **options).filter("first_id is not null")
+    stays = (F.col("id") == F.col("first_id")) & (F.col("key") == F.col("first_key"))
+    told = each.groupBy("id", "key").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    told = common.cut(told.filter("not stays or rows > 1").select("id", "key", "stays"))
+    shared = spark.sparkContext.broadcast(_bitmap(told, bits))
     names = docs.columns
     mark = "_place"
-    while mark in names:
+    while any(n.startswith(mark) for n in names):
         mark += "_"
-    hashed = docs.withColumn(mark, F.pmod(F.xxhash64(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID).cast("long"))), F.lit(bits)))
+    place, own_id, own_key = mark, f"{mark}id", f"{mark}key"
+    known = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID).cast("long"))
+    hashed = docs.withColumn(own_id, known).withColumn(place, F.pmod(F.xxhash64(own_id), F.lit(bits)))
 
     def part(inside: bool) -> DataFrame:
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             h = batch.column(batch.num_columns - 1).to_numpy()
             hit = (shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
-            yield batch.filter(pa.array(hit == inside)).select(names)
-
-        return common.map_arrow(hashed, run, docs.schema)
-
-    gone = dropped.withColumnRenamed("id", mark)
-    unsure = part(True)
-    return part(False).unionByName(unsure.join(gone, unsure[doc_id] == gone[mark], "left_anti"))
+            own = batch.filter(pa.array(hit == inside))
+            if not inside:
+                yield own.select(names)
+            elif own.num_rows:
+                keys = [set_key(shingle_set(b, width)) for b in common.texts(own.column(names.index(text)))]
+                yield own.select([*names, own_id]).append_column(own_key, pa.array(keys, pa.binary()))
+
+        schema = docs.schema
+        return common.map_arrow(hashed, run, T.StructType([*schema.fields, T.StructField(own_id, T.LongType()), T.StructField(own_key, T.BinaryType())]) if inside else schema)
+
+    unsure = part(True).join(told.withColumnsRenamed({"id": own_id, "key": own_key, "stays": place}), [own_id, own_key], "left")
+    # rows told of nothing keep a number each, so that only copies of the row to keep meet
+    apart = unsure.filter(F.coalesce(place, F.lit(True))).withColumn(place, F.when(F.col(place), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return part(False).unionByName(apart.dropDuplicates([own_id, own_key, place]).select(*common.quoted(names)))
