@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,18 @@ def test_sharding(spark):
     assert sharding.shard(frame(spark, rows).limit(0)).count() == 0
     plan = sharding.shard(frame(spark, rows))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_every_learning_round_sees_all_words(spark):
+    rng, letters = np.random.default_rng(2), np.frombuffer(b"abcdefghijklmnop", np.uint8)
+    words = sorted({bytes(w) for w in letters[rng.integers(0, len(letters), (320_000, 5))]})[:200_500]
+    assert len(words) > 200_000
+    path = queries.vocabulary("piece_bpe_32k.model")
+    counts = spark.createDataFrame(pd.DataFrame({"word": words, "c": 1, "c_all": 1}), "word binary, c long, c_all long")
+    model = lattice.learn(counts.repartition(8), path)
+    v = lattice.Vocabulary.from_sentencepiece(path)
+    weights, body = lattice.Weights.prior(v), [lattice.WORD_START + w for w in words]
+    for _ in range(5):
+        first, later = (u + 0.01 for u in lattice.lattice(body, v, weights, np.ones(len(body)))[1])
+        weights = lattice.Weights(np.log(first / first.sum()), np.log(later / later.sum()))
+    assert np.allclose(model.weights.first, weights.first, atol=1e-6) and np.allclose(model.weights.later, weights.later, atol=1e-6)

@@ -246,15 +246,14 @@ def word_counts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     return source.mapInArrow(run, "word binary, c long, c_all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
-def learn(counts: DataFrame, path: str, rounds: int = 1, first_rounds: int = 4, first_words: int = 200_000, smoothing: float = 0.01) -> Model:
+def learn(counts: DataFrame, path: str, rounds: int = 5, smoothing: float = 0.01) -> Model:
     """The model of the words counted in training.
 
     Piece weights by expectation maximisation over all distinct training words:
     the vocabulary's own scores weight all segmentations in the first round, the
-    learned weights in the later ones. ``first_rounds`` start on about
-    ``first_words`` words, chosen by hash; ``rounds`` over all words follow. Each
-    task sums its words' expected piece uses; the driver gets one sum per piece
-    of the vocabulary.
+    learned weights in the later ones. Each of the ``rounds`` goes over all words,
+    whatever their number; each task sums its words' expected piece uses, and the
+    driver gets one sum per piece of the vocabulary.
     """
     spark = counts.sparkSession
     vocabulary = _vocabulary(path)
@@ -262,9 +261,7 @@ def learn(counts: DataFrame, path: str, rounds: int = 1, first_rounds: int = 4,
     facts = trained.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
     words = trained.filter(F.col("word") != F.lit(END)).select("word")
     weights = Weights.prior(vocabulary)
-    share = max(1, -(-facts["v"] // first_words))
-    some = words.filter(F.pmod(F.xxhash64("word"), F.lit(share)) == 0)
-    for own in [some] * first_rounds + [words] * rounds if facts["v"] else []:
+    for _ in range(rounds if facts["v"] else 0):
         shared = spark.sparkContext.broadcast(weights)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -277,7 +274,7 @@ def learn(counts: DataFrame, path: str, rounds: int = 1, first_rounds: int = 4,
             yield common.batch_of({"piece": at.astype(np.int32), "uses": total[at]})
 
         uses = np.full(2 * len(weights.first) + 1, smoothing)
-        for r in own.mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
+        for r in words.mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
             uses[r["piece"]] += r["uses"]
         first, later = np.split(uses, [len(weights.first)])
         weights = Weights(np.log(first / first.sum()), np.log(later / later.sum()))
@@ -286,7 +283,7 @@ def learn(counts: DataFrame, path: str, rounds: int = 1, first_rounds: int = 4,
     return Model(weights, discount, discount * facts["v"], facts["n"] or 0)
 
 
-def score(docs: DataFrame, train: Column, path: str, doc_id: str = "doc_id", text: str = "text", rounds: int = 1, frequent: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, train: Column, path: str, doc_id: str = "doc_id", text: str = "text", rounds: int = 5, frequent: int = 100_000) -> DataFrame:
     """Score every text by a model learned from the rows where ``train`` holds.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score and score, both
