@@ -248,3 +248,12 @@ def test_keep_first_keeps_one_row_of_each_group(spark, unit_docs):
     groups = [("a", [r for r in got if r[1] and r[1].startswith(a)]), ("b", [r for r in got if r[1] and r[1].startswith(b)]), ("c", [r for r in got if r[1] and r[1].startswith(c)])]
     assert {k: [i for i, _ in own] for k, own in groups} == {"a": [1], "b": [None], "c": [3]}
     assert sorted(r for r in got if r[1] == lone) == [(9, lone)] and got.count((9, None)) == 2 and len(got) == 6
+
+
+def test_copied_pages_keep_their_text(spark):
+    inside, plain = "<article><div>A report that many copied.</div><div>Its end.</div></article>", "<body><h1>Head</h1><p>Words of one page</p></body>"
+    pages = [(i, f"http://copies.example/{i}", inside) for i in range(40)] + [(100 + i, f"http://copies.example/p{i}", plain) for i in range(40)]
+    pages += [(200 + i, f"http://copies.example/q{i}", f"<article><div>Own text {i}</div><div>Site box</div></article>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(40)} == {"A report that many copied.\nIts end."} and {got[100 + i] for i in range(40)} == {"Head\nWords of one page"}
+    assert all(got[200 + i] == f"Own text {i}" for i in range(30))

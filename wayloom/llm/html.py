@@ -169,7 +169,10 @@ def _removable(e: Element, prose: bool) -> bool:
 
 def main_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the main part in page order, joined by line breaks, without dropped elements and ``templates``."""
-    root = parse(html)
+    return _text_of(parse(html), templates)
+
+
+def _text_of(root: Element, templates: frozenset[int] | set[int] = frozenset()) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -210,28 +213,32 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = 10, share: float = 0.05, block_rows: int = 200_000) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    Spark counts, for each host, on how many pages an element subtree occurs;
-    those on more than ``min_pages`` pages and more than ``share`` of the host's
-    pages are site templates and go. The templates reach the executors in
+    Spark counts, for each host, with how many distinct main texts an element
+    subtree occurs; those with more than ``min_pages`` and more than ``share`` of
+    the host's are site templates and go. Copies of a page count once, so its
+    own text is no template however many they are. The templates reach the executors in
     blocks of hosts of about ``block_rows`` hashes (a host has no more than its
     mean number of subtrees divided by ``share``), each page being read with its
     host's block. Null html gives an empty text; a null url is a host of its own;
-    repeated rows count each and stay.
+    repeated rows stay.
     """
     spark = pages.sparkSession
     source = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"))
 
     def subtrees(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        hosts, keys = [], []
+        hosts, contents, keys = [], [], []
         for h, body in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = boxes(parse(body or ""))
+            root = parse(body or "")
+            own = [None, *boxes(root)]  # the null stands for the page itself
             hosts += [h] * len(own)
+            contents += [hashlib.blake2b(_text_of(root).encode("utf-8", "replace"), digest_size=16).digest()] * len(own)
             keys += own
-        yield common.batch_of({"host": hosts, "key": keys}, {"host": pa.string(), "key": pa.int64()})
+        yield common.batch_of({"host": hosts, "content": contents, "key": keys}, {"host": pa.string(), "content": pa.binary(), "key": pa.int64()})
 
-    seen = common.map_arrow(source.select("host", "html"), subtrees, "host string, key long").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    per_host = source.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    over = common.cut(seen.filter(F.col("n") > min_pages).join(per_host, "host").filter(F.col("n") > F.col("pages") * F.lit(share)).select("host", "key"))
+    once = common.map_arrow(source.select("host", "html"), subtrees, "host string, content binary, key long").distinct()
+    seen = common.cut(once.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > min_pages) | F.col("key").isNull()))
+    per_host = seen.filter("key is null").select("host", F.col("n").alias("pages"))
+    over = common.cut(seen.filter("key is not null").join(per_host, "host").filter(F.col("n") > F.col("pages") * F.lit(share)).select("host", "key"))
     blocks = max(1, -(-over.count() // block_rows))
     parts = []
     for k in range(blocks):
