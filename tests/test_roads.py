@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import geo, paths
 from wayloom.operators import components, fleet, graph, ingest, knn, kpaths, landmarks, search, updates
 from wayloom.plans import events as plan
+from wayloom.plans import roads
 from wayloom.sources import files
 from wayloom.streaming import streams
 
@@ -276,3 +277,45 @@ def test_cleaning(spark):
     assert [r["id"] for r in graph.valid_edges(raw, nodes(spark, 3)).collect()] == [1]
     far = geo.distances_to(nodes(spark, 2), spark.createDataFrame([(0,), (9,)], "target long")).collect()
     assert {(r["target"], r["id"]): r["km"] for r in far}[9, 0] == math.inf
+
+
+def _given(monkeypatch, **tables):
+    """Let registered queries run on these tables."""
+
+    class Given(dict):
+        stored = dict.__getitem__
+
+    monkeypatch.setattr(roads, "Tables", lambda spark, sf_dir: Given(tables))
+
+
+def _brute_diverse(rows, s, t, k, theta):
+    ids = {(a, b): i for i, (u, v, _, _, oneway) in enumerate(rows) for a, b in [(u, v)] + ([] if oneway else [(v, u)])}
+    every = [(w, p, {ids[x] for x in zip(p, p[1:])}) for w, p in _brute_paths(rows, s, t)]
+    chosen = every[:1]
+
+    def penalty(paths):
+        over = lambda e: sum(len(e & o) / min(len(e), len(o)) > theta for _, _, o in paths)
+        return sum((1 + over(e)) * ((w - every[0][0]) / every[0][0] + 0.1) for w, _, e in paths)
+
+    while len(chosen) < k:
+        rest = [next((x for x in every if ban not in x[2]), None) for ban in chosen[-1][2]]
+        fresh = [x for x in rest if x and x not in chosen]
+        if not fresh:
+            break
+        chosen.append(min(fresh, key=lambda x: (penalty(chosen + [x]), x[1])))
+    return sorted((w, p) for w, p, _ in chosen)
+
+
+def test_k_diverse_query_gives_all_paths_asked_for(spark, monkeypatch):
+    rng = random.Random(32)
+    rows = [(a, b, rng.uniform(1, 6), "local", rng.random() < 0.2) for a, b in itertools.combinations(range(7), 2) if rng.random() < 0.8]
+    asked = [(1, 0, 6, 4, 50.0), (2, 1, 5, 5, 30.0), (3, 2, 6, 6, 70.0), (4, 0, 5, 2, 50.0)]
+    df = spark.createDataFrame(asked, "id long, source long, target long, k int, overlap_threshold double")
+    _given(monkeypatch, nodes=nodes(spark, 7), edges=edges(spark, rows), kpath_requests=df)
+    got = {}
+    for r in roads.k_diverse(spark, "").orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["length"], [int(x) for x in r["path"].split(",")]))
+    for i, s, t, k, theta in asked:
+        want = _brute_diverse(rows, s, t, k, theta / 100)
+        assert [p for _, p in got[i]] == [p for _, p in want] and all(math.isclose(a, b, abs_tol=1e-6) for (a, _), (b, _) in zip(got[i], want))
+    assert max(map(len, got.values())) > 3

@@ -380,7 +380,7 @@ def k_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3, F7, F9-F11, W7, X2, X4."""
     t = Tables(spark, sf_dir)
-    found = kpaths.k_diverse_paths(t.stored("nodes"), graph.cut(graph.adjacency(t.stored("edges"))), _kpaths(t).withColumn("k", F.least("k", F.lit(3))))
+    found = kpaths.k_diverse_paths(t.stored("nodes"), graph.cut(graph.adjacency(t.stored("edges"))), _kpaths(t))
     return found.select("id", "rank", F.array_join("path", ",").alias("path"), F.round("length", 6).alias("length"))
 
 
