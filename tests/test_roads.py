@@ -319,3 +319,19 @@ def test_k_diverse_query_gives_all_paths_asked_for(spark, monkeypatch):
         want = _brute_diverse(rows, s, t, k, theta / 100)
         assert [p for _, p in got[i]] == [p for _, p in want] and all(math.isclose(a, b, abs_tol=1e-6) for (a, _), (b, _) in zip(got[i], want))
     assert max(map(len, got.values())) > 3
+
+
+def test_components_and_reach_over_all_road_types(spark, monkeypatch):
+    rng = random.Random(13)
+    kinds = ["expressway", "primary", "secondary", "tertiary", "local"]
+    rows = [(rng.randrange(14), rng.randrange(14), 1, kinds[i % 5], rng.random() < 0.8) for i in range(18)]
+    pairs = spark.createDataFrame([(100 * a + b, a, b) for a in range(15) for b in range(15)], "pair_id long, source long, target long")
+    _given(monkeypatch, nodes=nodes(spark, 14), edges=edges(spark, rows), approx_requests=pairs)
+    reach = {(a, a) for a in range(14)} | {(u, v) for u, v, *_ in rows} | {(v, u) for u, v, _, _, oneway in rows if not oneway}
+    for c in range(14):
+        reach |= {(a, b) for a in range(14) for b in range(14) if (a, c) in reach and (c, b) in reach}
+    want = {a: min(b for b in range(14) if (a, b) in reach and (b, a) in reach) for a in range(14)}
+    assert {r["node"]: r["component_id"] for r in roads.QUERIES["strong_components_all"](spark, "").collect()} == want
+    sizes = {c: list(want.values()).count(c) for c in want.values()}
+    assert {r["component_id"]: r["n_nodes"] for r in roads.QUERIES["component_sizes_all"](spark, "").collect()} == sizes and max(sizes.values()) > 1
+    assert {r["pair_id"]: r["reachable"] for r in roads.QUERIES["reachable_pairs_all"](spark, "").collect()} == {100 * a + b: (a, b) in reach for a in range(15) for b in range(15)}

@@ -327,6 +327,26 @@ def reachable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.reachable(_sparse(t), t.stored("nodes"), t["approx_requests"].select("pair_id", "source", "target"))
 
 
+@query()
+def strong_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7 over all road types; tests hold it against brute force."""
+    t = Tables(spark, sf_dir)
+    return components.strongly_connected_components(graph.cut(graph.adjacency(t.stored("edges"))), t.stored("nodes"))
+
+
+@query()
+def component_sizes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 over all road types; tests hold it against brute force."""
+    return components.component_sizes(strong_components_all(spark, sf_dir))
+
+
+@query()
+def reachable_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G6 over all road types; tests hold it against brute force."""
+    t = Tables(spark, sf_dir)
+    return components.reachable(graph.cut(graph.adjacency(t.stored("edges"))), t.stored("nodes"), t["approx_requests"].select("pair_id", "source", "target"))
+
+
 @query()
 def landmark_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four landmarks; tests hold them against brute force."""
