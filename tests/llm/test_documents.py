@@ -257,3 +257,38 @@ def test_copied_pages_keep_their_text(spark):
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert {got[i] for i in range(40)} == {"A report that many copied.\nIts end."} and {got[100 + i] for i in range(40)} == {"Head\nWords of one page"}
     assert all(got[200 + i] == f"Own text {i}" for i in range(30))
+
+
+def test_templates_are_counted_as_by_hand(spark):
+    """Furniture without telling tags or classes, in and around articles; counts against brute force."""
+    menu = lambda i: "<div class='m active-{0}'><span><a href='/{0}'>Item {0}</a></span><span><a>Other {1}</a></span></div>".format(i, i * 7)
+    page = lambda i: f"<body>{menu(i)}<div>Notice {i % 3} of today</div><article><p>Read by all.</p><p>Own words {i} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}</p><div>Box</div></article><div>So long {i}</div>"
+    pages = [(i, "http://site.example/", page(i)) for i in range(60)] + [(100 + i, "http://few.example/", page(i)) for i in range(4)] + [(200 + i, None, page(i)) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    word = lambda i: f"Own words {i} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}"
+    assert all(got[i] == word(i) for i in range(60)), "the site's templates go, in the article too"
+    assert all(got[100 + i] == f"Read by all.\n{word(i)}\nBox" for i in range(4)) and got[230] == f"Read by all.\n{word(30)}\nBox"
+    again = {r["page_id"]: r["text"] for r in html.extract(df, block_rows=0).collect()}
+    assert again == got
+    # every count by hand: each key of the host's distinct main texts
+    counts: dict[bytes, int] = {}
+    for _, _, body in pages[:60]:
+        for k in html.Page(body).keys():
+            counts[k] = counts.get(k, 0) + 1
+    limit = {b"o": 4, b"b": 10, b"p": 40}
+    want = {k for k, n in counts.items() if n > limit[k[:1]] and n >= (30 if k[:1] == b"p" else 12)}
+    made = html.site_templates(df.select(html.host_of(F.col("url")).alias("host"), "html")).collect()
+    assert {r["host"]: {bytes(k) for k in r["templates"]} for r in made} == {"site.example": want}
+    kept = {r["page_id"]: r["text"] for r in html.extract(df, prose_pages=60).collect()}
+    assert kept[7] == f"Read by all.\n{word(7)}"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for part in ('<a b="x ', "<!", "<p a='", "</i><b>", "<li>"):
+        begin = time.time()
+        html.main_text(part * (1_000_000 // len(part)))
+        assert time.time() - begin < 20
+    assert html.main_text("<p>x <a b='y <b>z</p>w") == "x z\nw" and html.main_text("<div title=it's>a</div>b'c") == "a\nb'c"

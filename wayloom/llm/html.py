@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-# Kinds of elements and words of class, id and role.
+# Kinds of elements, and landmark roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
 BLOCK = frozenset(
@@ -21,188 +22,288 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr dd dt li".split())
 DROPPED = frozenset("head script style noscript template iframe svg nav footer aside form button select textarea dialog menu object audio video canvas".split())
-DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar aside rail widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead topbar footer comment comments commentlist disqus respond reply replies share sharing social related recommended hidden navigation banner contentinfo complementary search form dialog".split()
-)
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption summary tr tbody thead table ul ol dl figure".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption summary tr tbody thead table ul ol dl figure section".split())
 #: An open element of the key that the start tag of the values ends, up to the border elements.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Class words that say which item of a menu the page is.
+STATES = frozenset("active current selected open first last odd even".split())
+
+#: Deeper elements are not nested further, so that no step grows with the depth of a page.
+MOST_DEEP = 512
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_WORDS = re.compile(r"[^a-z0-9]+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_DIGITS = re.compile(r"\d")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "_key")
+    """A node of a page; ``exact`` and ``shape`` are set by ``measure``."""
+
+    __slots__ = ("tag", "attrs", "children", "exact", "shape", "chars", "link_chars")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children, self._key = tag, attrs, [], None
+        self.tag, self.attrs, self.children = tag, attrs, []
+        self.exact = self.shape = b""
+        self.chars = self.link_chars = 0
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(self.attrs)} if self.attrs.strip(" /") else {}
 
-    def words(self) -> set[str]:
-        a = self.attributes()
-        return {w for k in ("class", "id", "role") for w in _WORDS.split(a.get(k, "").lower()) if w}
+    def kind(self) -> str:
+        """Tag and class words, without digits and without those that mark the current page."""
+        if not self.attrs:
+            return self.tag
+        names = sorted({_DIGITS.sub("", w) for w in self.attributes().get("class", "").lower().split()} - STATES)
+        return " ".join([self.tag, *names])
 
-    def key(self) -> int:
-        """64-bit hash of the subtree: tags, classes and texts with white space runs as one space."""
-        stack = [self]
-        while stack:
-            e = stack[-1]
-            todo = [c for c in e.children if isinstance(c, Element) and c._key is None]
-            if todo and e._key is None:
-                stack += todo
-                continue
-            stack.pop()
-            if e._key is None:
-                h = hashlib.blake2b(digest_size=8)
-                h.update(f"<{e.tag} {e.attributes().get('class', '') if e.attrs else ''}>".encode("utf-8", "replace"))
-                for c in e.children:
-                    h.update(c._key.to_bytes(8, "little", signed=True) if isinstance(c, Element) else " ".join(c.split()).encode("utf-8", "replace"))
-                    h.update(b"\0")
-                e._key = int.from_bytes(h.digest(), "little", signed=True)
-        return self._key
+    def elements(self) -> list[Element]:
+        return [c for c in self.children if isinstance(c, Element)]
 
     def walk(self) -> Iterator[Element]:
         stack = [self]
         while stack:
             e = stack.pop()
             yield e
-            stack += [c for c in reversed(e.children) if isinstance(c, Element)]
+            stack += reversed(e.elements())
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag's '>' is, outside quoted values; -1 if there is none."""
+    spot = at
+    while m := _STOP.search(html, spot):
+        if m[0] == ">":
+            return m.start()
+        before = m.start() - 1
+        while before >= spot and html[before].isspace():
+            before -= 1
+        if html[before] != "=":  # a quote opens a value after '=' only
+            spot = m.end()
+            continue
+        close = html.find(m[0], m.end())
+        if close < 0:
+            return -1
+        spot = close + 1
+    return -1
 
 
 def parse(html: str) -> Element:
-    """A tree of elements and decoded texts. Missing end tags are implied, stray ones ignored."""
+    """A tree of elements and decoded texts, in time linear in the page.
+
+    Missing end tags are implied, stray ones ignored. Once a quoted value does
+    not end, quotes count no more; a tag without '>' is text.
+    """
     root = Element("#root")
     stack, at, n = [root], 0, len(html)
+    opened: Counter[str] = Counter()
+    quotes = True
+    text: list[str] = []
+
+    def pop(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
+
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            stack[-1].children.append(unescape(html[at:]))
+        begin = html.find("<", at)
+        if begin < 0:
             break
-        if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+        sign = html[begin + 1 : begin + 2]
+        closing = sign == "/"
+        m = _NAME.match(html, begin + 1 + closing)
+        if m is None and sign not in ("!", "?"):
+            text.append(html[at : begin + 1])
+            at = begin + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        if m is None:
+            end = html.find("-->", begin + 4) if html.startswith("<!--", begin) else html.find(">", begin)
+            after = n if end < 0 else end + (3 if html.startswith("<!--", begin) else 1)
+            if end < 0 and not html.startswith("<!--", begin):
+                break
+        else:
+            end = _tag_end(html, m.end()) if quotes else html.find(">", m.end())
+            if end < 0 and quotes:
+                quotes, end = False, html.find(">", m.end())
+            if end < 0:
+                break
+            after = end + 1
+        text.append(html[at:begin])
+        at = after
+        if whole := "".join(text):
+            stack[-1].children.append(unescape(whole))
+        text.clear()
+        if m is None:
+            continue
+        tag = m[0].lower()
+        if closing:
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                pop(k)
             continue
+        attrs = html[m.end() : end]
         if tag in IMPLIED:
             ends, border = IMPLIED[tag]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in border:
                     break
                 if stack[k].tag in ends:
-                    del stack[k:]
+                    pop(k)
                     break
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    pop(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
-        e = Element(tag, m[3])
+        e = Element(tag, attrs)
         stack[-1].children.append(e)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(e)
-        elif tag not in VOID and tag in BLOCK:
+        shut = attrs.endswith("/")
+        if tag in RAW and not (tag == "svg" and shut):
+            close = _RAW_END[tag].search(html, at)
+            end = html.find(">", close.end()) if close else -1
+            at = n if end < 0 else end + 1
+        elif tag not in VOID and (not shut or tag in BLOCK) and len(stack) < MOST_DEEP:
             stack.append(e)
+            opened[tag] += 1
+    if rest := "".join([*text, html[at:]]):
+        stack[-1].children.append(unescape(rest))
     return root
 
 
+def measure(root: Element) -> None:
+    """Hashes and sizes of all subtrees.
+
+    ``exact``: kinds and texts, white space runs as one space; where links lead
+    and other attributes do not count. ``shape``: kinds alone, equal
+    neighbours once, so that a menu keeps its shape whatever it lists.
+    """
+    for e in reversed(list(root.walk())):
+        kind = e.kind().encode("utf-8", "replace")
+        exact, shape, last = hashlib.blake2b(b"x" + kind, digest_size=8), hashlib.blake2b(b"s" + kind, digest_size=8), b""
+        for c in e.children:
+            if isinstance(c, Element):
+                exact.update(b"\1" + c.exact)
+                if c.shape != last:
+                    shape.update(c.shape)
+                last = c.shape
+                e.chars += c.chars
+                e.link_chars += c.chars if c.tag == "a" else c.link_chars
+            else:
+                own = " ".join(c.split())
+                exact.update(b"\2" + own.encode("utf-8", "replace"))
+                e.chars += len(own)
+        e.exact, e.shape = exact.digest(), shape.digest()
+
+
 def is_dropped(e: Element, inside: bool) -> bool:
-    """Whether the element's tag, class, id or role says it is no main text; ``inside`` an article, headers stay."""
+    """Whether tag, role or hiding says that the element is no main text; ``inside`` an article, headers stay."""
     if e.tag in DROPPED or (e.tag == "header" and not inside):
         return True
-    if not e.attrs or e.tag in ("html", "body", "article", "main") and not e.words() & {"comment", "comments", "reply", "ad"}:
+    if not e.attrs or e.tag in ("html", "body"):
         return False
     a = e.attributes()
-    style = a.get("style", "").replace(" ", "").lower()
-    return bool(e.words() & DROPPED_WORDS) or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or (not inside and "header" in e.words())
+    hides = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+    return hides or (not inside and a.get("role", "").lower() in DROPPED_ROLES)
 
 
 def articles(root: Element) -> list[Element]:
-    """Outermost articles; else main elements; else the body or the root."""
-    for tags, role in (({"article"}, "article"), ({"main"}, "main"), ({"body"}, None)):
+    """Outermost articles; else main elements; none where a page marks neither."""
+    for name in ("article", "main"):
         found: list[Element] = []
         stack = [root]
         while stack:
             e = stack.pop()
             if is_dropped(e, False):
                 continue
-            if e.tag in tags or (role and e.attrs and e.attributes().get("role") == role):
+            if e.tag == name or (e.attrs and e.attributes().get("role") == name):
                 found.append(e)
-                continue
-            stack += [c for c in reversed(e.children) if isinstance(c, Element)]
+            else:
+                stack += reversed(e.elements())
         if found:
             return found
-    return [root]
-
-
-def boxes(root: Element) -> set[int]:
-    """Hashes of all element subtrees that may be site furniture: not the page, its main parts, or prose of an article."""
-    keys: set[int] = set()
-    main = articles(root)
-    prose = main[0].tag in ("article", "main")
-    inside = {id(x) for m in main for x in m.walk()}
-    for e in root.walk():
-        if e.tag not in ("#root", "html", "body", "head", "article", "main") and e.tag not in VOID and (id(e) not in inside or _removable(e, prose)):
-            keys.add(e.key())
-    return keys
-
+    return []
 
-def _removable(e: Element, prose: bool) -> bool:
-    """Within the main part: text blocks of an article are never furniture, however many pages share them."""
-    return e.tag in BLOCK and not (prose and e.tag in PROSE | {"article", "main", "section"})
 
+def body_of(root: Element) -> Element:
+    return next((e for e in root.walk() if e.tag == "body"), root)
 
-def main_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the main part in page order, joined by line breaks, without dropped elements and ``templates``."""
-    return _text_of(parse(html), templates)
 
+class Page:
+    """A parsed page with the keys by which its subtrees are counted."""
 
-def _text_of(root: Element, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    blocks: list[str] = []
-    run: list[str] = []
-
-    def end() -> None:
-        text = " ".join("".join(run).split())
-        if text:
-            blocks.append(text)
-        run.clear()
-
-    for part in articles(root):
-        prose = part.tag in ("article", "main")
-        stack: list[object] = [part]
-        while stack:
-            e = stack.pop()
-            if e is None:
-                end()
-            elif isinstance(e, str):
-                run.append(e)
-            elif e.tag == "br":
-                run.append(" ")
-            elif e is not part and (is_dropped(e, True) or (templates and _removable(e, prose) and e.key() in templates)):
+    def __init__(self, html: str):
+        self.root = parse(html)
+        measure(self.root)
+        self.main = articles(self.root)
+        inside = {id(x) for m in self.main for x in m.walk()}
+        # a page's own frame: whatever holds a main part
+        frame = {"#root", "html", "body", "head"}
+        self._key: dict[int, bytes] = {}
+        holds: set[int] = set(inside)
+        for e in reversed(list(self.root.walk())):
+            c = e.elements()
+            if id(e) not in inside and any(id(x) in holds for x in c):
+                holds.add(id(e))
+                continue
+            if e.tag in frame or e.tag in VOID or e.tag in ("article", "main"):
+                continue
+            if id(e) in inside:
                 if e.tag in BLOCK:
-                    end()
+                    self._key[id(e)] = (b"p" if e.tag in PROSE else b"b") + e.exact
+            elif self.main or 2 * e.link_chars > e.chars:
+                self._key[id(e)] = b"o" + e.shape
             else:
-                if e.tag in BLOCK:
+                self._key[id(e)] = b"o" + e.exact
+
+    def keys(self) -> set[bytes]:
+        """One byte for the kind of place - ``o`` outside the main part, ``b`` a box or ``p`` prose within it - and a hash."""
+        return set(self._key.values())
+
+    def text(self, templates: frozenset[bytes] | set[bytes] | None = None) -> str:
+        """Blocks in page order, joined by line breaks.
+
+        With ``templates``, those of the page's host: everything but templates and
+        what its markup drops. Without: the main part, by markup alone.
+        """
+        blocks: list[str] = []
+        run: list[str] = []
+
+        def end() -> None:
+            if text := " ".join("".join(run).split()):
+                blocks.append(text)
+            run.clear()
+
+        main = {id(m) for m in self.main}
+        for part in (self.main or [body_of(self.root)]) if templates is None else [body_of(self.root)]:
+            stack: list[tuple[object, bool]] = [(part, bool(self.main) and templates is None)]
+            while stack:
+                e, inside = stack.pop()
+                if e is None:
                     end()
-                    stack.append(None)
-                stack += reversed(e.children)
-        end()
-    return "\n".join(blocks)
+                elif isinstance(e, str):
+                    run.append(e)
+                elif e.tag == "br":
+                    run.append(" ")
+                elif e is not part and (is_dropped(e, inside) or (templates and self._key.get(id(e)) in templates)):
+                    if e.tag in BLOCK:
+                        end()
+                else:
+                    inside = inside or id(e) in main
+                    if e.tag in BLOCK:
+                        end()
+                        stack.append((None, inside))
+                    stack += [(c, inside) for c in reversed(e.children)]
+            end()
+        return "\n".join(blocks)
+
+
+def main_text(html: str, templates: frozenset[bytes] | set[bytes] | None = None) -> str:
+    return Page(html).text(templates)
 
 
 def host_of(url: Column) -> Column:
@@ -210,50 +311,59 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = 10, share: float = 0.05, block_rows: int = 200_000) -> DataFrame:
+def site_templates(source: DataFrame, min_pages: int = 4, share: float = 0.2, box_pages: int = 10, prose_pages: int = 40, prose_share: float = 0.5) -> DataFrame:
+    """host, templates (array of keys) of every host with more than ``min_pages`` distinct main texts.
+
+    ``source``: host, html. Each subtree counts once for each distinct main text
+    of its host, so that copies of a page are no evidence however many they are.
+    Outside the main part a subtree is a template on more than ``min_pages`` of
+    them and at least ``share`` of all; within it, a box on more than ``box_pages``
+    and ``share``, a paragraph, list, table or section on more than ``prose_pages``
+    and ``prose_share``, as shared passages are common there. Pages without a host are no site.
+    """
+
+    def subtrees(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        contents, keys = [], []
+        for body in batch.column("html").to_pylist():
+            page = Page(body or "")
+            contents.append(hashlib.blake2b(page.text().encode("utf-8", "replace"), digest_size=16).digest())
+            keys.append(sorted(page.keys()))
+        yield common.batch_of({"host": batch.column("host"), "content": contents, "keys": keys}, {"content": pa.binary(), "keys": pa.list_(pa.binary())})
+
+    read = common.map_arrow(source.filter("host <> ''").select("host", "html"), subtrees, "host string, content binary, keys array<binary>")
+    once = common.cut(read.groupBy("host", "content").agg(F.first("keys").alias("keys")))
+    hosts = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") > min_pages)
+    counted = once.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_pages)
+    place = F.substring(F.col("key").cast("string"), 1, 1)
+    most = F.when(place == "p", F.lit(prose_pages)).when(place == "b", F.lit(box_pages)).otherwise(F.lit(min_pages))
+    least = F.when(place == "p", F.lit(prose_share)).otherwise(F.lit(share))
+    over = counted.join(hosts, "host").filter((F.col("n") > most) & (F.col("n") >= F.col("pages") * least))
+    own = over.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("templates"))
+    return hosts.select("host").join(own, "host", "left").select("host", F.coalesce("templates", F.array().cast("array<binary>")).alias("templates"))
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", block_rows: int = 100_000, **limits) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    Spark counts, for each host, with how many distinct main texts an element
-    subtree occurs; those with more than ``min_pages`` and more than ``share`` of
-    the host's are site templates and go. Copies of a page count once, so its
-    own text is no template however many they are. The templates reach the executors in
-    blocks of hosts of about ``block_rows`` hashes (a host has no more than its
-    mean number of subtrees divided by ``share``), each page being read with its
-    host's block. Null html gives an empty text; a null url is a host of its own;
-    repeated rows stay.
+    Spark counts the element subtrees of each host over its whole pages
+    (``site_templates``, which ``limits`` go to) and the pages of the hosts counted lose their templates;
+    no article element decides there. On hosts of too few pages, markup does: the
+    article or main element, or else the body, without navigation and the like.
+    The hosts' templates - a host has at most its mean number of subtrees divided
+    by the share - meet the pages in one join: broadcast while at most ``block_rows``
+    hosts have any, by host beyond, where Spark splits a host that is too large for a task.
+
+    Null html gives an empty text; pages without a host are judged by markup;
+    repeated rows stay; an empty table gives an empty result; other columns are not read.
     """
-    spark = pages.sparkSession
     source = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"))
+    sites = common.cut(site_templates(source, **limits))
+    if sites.count() <= block_rows:
+        sites = F.broadcast(sites)
 
-    def subtrees(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        hosts, contents, keys = [], [], []
-        for h, body in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            root = parse(body or "")
-            own = [None, *boxes(root)]  # the null stands for the page itself
-            hosts += [h] * len(own)
-            contents += [hashlib.blake2b(_text_of(root).encode("utf-8", "replace"), digest_size=16).digest()] * len(own)
-            keys += own
-        yield common.batch_of({"host": hosts, "content": contents, "key": keys}, {"host": pa.string(), "content": pa.binary(), "key": pa.int64()})
-
-    once = common.map_arrow(source.select("host", "html"), subtrees, "host string, content binary, key long").distinct()
-    seen = common.cut(once.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > min_pages) | F.col("key").isNull()))
-    per_host = seen.filter("key is null").select("host", F.col("n").alias("pages"))
-    over = common.cut(seen.filter("key is not null").join(per_host, "host").filter(F.col("n") > F.col("pages") * F.lit(share)).select("host", "key"))
-    blocks = max(1, -(-over.count() // block_rows))
-    parts = []
-    for k in range(blocks):
-        own: dict[str, set[int]] = {}
-        for r in (over if blocks == 1 else over.filter(F.pmod(F.xxhash64("host"), F.lit(blocks)) == k)).toLocalIterator():
-            own.setdefault(r["host"], set()).add(r["key"])
-        shared = spark.sparkContext.broadcast(own)
-
-        def run(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
-            out = [main_text(b or "", shared.value.get(h, frozenset())) for h, b in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())]
-            yield common.batch_of({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": out, "n_chars": list(map(len, out))}, {"text": pa.string(), "n_chars": pa.int64()})
-
-        mine = source if blocks == 1 else source.filter(F.pmod(F.xxhash64("host"), F.lit(blocks)) == k)
-        parts.append(common.map_arrow(mine, run, "page_id long, url string, text string, n_chars long"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = [main_text(b or "", None if t is None else set(t)) for b, t in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist())]
+        yield common.batch_of({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": out, "n_chars": list(map(len, out))}, {"text": pa.string(), "n_chars": pa.int64()})
+
+    joined = source.join(sites, "host", "left").select("page_id", "url", "html", "templates")
+    return common.map_arrow(joined, run, "page_id long, url string, text string, n_chars long")
