@@ -27,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    That folder is ``spark.checkpoint.dir``; only where it is unset (tests) a
-    temporary folder of this machine stands in.
+    That folder is ``spark.checkpoint.dir``; only where it is unset and all of
+    Spark is this one process (tests) a temporary folder stands in.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-wayloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/wayloom-{uuid.uuid4().hex}"
@@ -45,21 +47,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold at most ``rows`` rows, so that long texts stay bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``most`` bytes.
+
+    Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch; the slices
+    bound what Python makes of it.
+    """
+    for batch in batches:
+        n = max(1, min(rows, batch.num_rows * most // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` of a function on one batch."""
-    small_batches(df.sparkSession)
+    """``mapInArrow`` of a function on one slice of a batch (``sliced``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from f(batch)
+        for batch in sliced(batches):
+            yield from f(batch)
 
     return df.mapInArrow(run, schema)
 
@@ -79,23 +84,6 @@ def texts(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def steps(parts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that together hold at most ``most`` bytes, or one longer text."""
-    begin = size = 0
-    for i, part in enumerate(parts):
-        if size and size + len(part) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(part)
-    if begin < len(parts):
-        yield begin, len(parts)
-
-
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, all else as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``: the fold of a row. A null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
@@ -170,18 +158,22 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
-def gapless(df: DataFrame, group: str, order: list[str], deal: list[str], rows_per_bucket: int = 50_000, name: str = "slot") -> DataFrame:
+def gapless(df: DataFrame, group: str, order: list[str], deal: list[str], rows_per_bucket: int | None = None, name: str = "slot") -> DataFrame:
     """Number the rows of each ``group`` from 0 without gaps, built-in functions only.
 
     Rows of a group are dealt into buckets by a hash of ``deal``, so that no
     window holds a whole group; a small table of bucket sizes gives each bucket
-    its first number. Within a bucket the order is that of ``order``; rows equal
+    its first number. A group of n rows has about the square root of n buckets
+    (or n / ``rows_per_bucket``), so that both its buckets and the list of their
+    sizes stay small. Within a bucket the order is that of ``order``; rows equal
     in all of it may take each other's place. The sizes need the columns of
-    ``deal`` and the group only, so wide columns are read once.
+    ``deal`` and the group only, so wide columns are read once. There may be few groups only.
     """
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_bucket))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*deal), F.lit(buckets)))
+    n = F.count(F.lit(1))
+    wanted = F.ceil(F.sqrt(n)) if rows_per_bucket is None else F.ceil(n / F.lit(rows_per_bucket))
+    groups = df.groupBy(group).agg(wanted.cast("long").alias("_buckets")).withColumnRenamed(group, "_group")
+    dealt = df.join(F.broadcast(groups), df[group].eqNullSafe(F.col("_group"))).drop("_group")
+    dealt = dealt.withColumn("_bucket", F.pmod(F.xxhash64(*deal), F.col("_buckets"))).drop("_buckets")
     sizes = dealt.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     first = "sum(_n) over (partition by {g} order by _bucket rows between unbounded preceding and current row) - _n"
     begins = sizes.selectExpr(f"{group} as _g", "_bucket as _b", f"{first.format(g=group)} as _first")

@@ -116,7 +116,6 @@ def fit(
     total = sum(r["n"] for r in ranked)
     if not classes:
         return Model([], np.ones(buckets), np.zeros((buckets, 0)), np.zeros(0), 1.0, orders)
-    common.small_batches(spark)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(buckets, np.int64)

@@ -25,10 +25,12 @@ class Vocabulary:
 
     Every single byte is a piece, so that each text has a segmentation. Pieces
     are found by a hash of their bytes: a bit table rules out nearly all other
-    strings, a sorted search confirms the rest.
+    strings, a sorted search confirms the rest. ``ranked``: the scores are no log
+    probabilities but ranks (0, -1, -2 ...), as a merge vocabulary has them.
     """
 
-    def __init__(self, pieces: list[tuple[bytes, float]]):
+    def __init__(self, pieces: list[tuple[bytes, float]], ranked: bool = False):
+        self.ranked = ranked
         best: dict[bytes, float] = {}
         for piece, score in pieces:
             if piece:
@@ -63,8 +65,11 @@ class Vocabulary:
         return hit // rows, hit % rows, self.order[at[ok]]
 
     @classmethod
-    def from_sentencepiece(cls, path: str) -> Vocabulary:
-        """Pieces and scores of a SentencePiece file; byte pieces stand for their byte, control pieces go."""
+    def from_sentencepiece(cls, path: str, ranked: bool = True) -> Vocabulary:
+        """Pieces and scores of a SentencePiece file; byte pieces stand for their byte, control pieces go.
+
+        ``ranked`` holds for files of its BPE kind, not of its unigram kind.
+        """
         import sentencepiece
 
         tool = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -74,16 +79,12 @@ class Vocabulary:
                 continue
             name = tool.id_to_piece(i)
             pieces.append((bytes([int(name[3:5], 16)]) if tool.is_byte(i) else name.encode(), tool.get_score(i)))
-        return cls(pieces)
+        return cls(pieces, ranked)
 
     def prior(self) -> np.ndarray:
-        """Log probabilities from the scores.
-
-        Scores that are log probabilities are normalised. Scores that only rank
-        (a merge vocabulary has 0, -1, -2 ...) count as ranks under Zipf's law.
-        """
+        """Log probabilities from the scores, normalised; scores that are ranks (``ranked``) count under Zipf's law."""
         s = self.scores
-        if s.min() < -100:
+        if self.ranked:
             s = -np.log(10.0 + s.max() - s)
         return s - np.logaddexp.reduce(s)
 
@@ -176,23 +177,16 @@ def _matches(x: np.ndarray, vocabulary: Vocabulary) -> list[list[tuple[int, np.n
 
 @dataclass
 class Model:
-    """What scores a word w: (max(c(w) - discount, 0) + (freed + 1) * base(w)) / (total + 1).
-
-    base is a distribution over words and the end: the lattice's marginal of the
-    word times 1 - ``end``, and ``end``. c(w) are the training counts; ``freed`` is
-    what the discount takes off all of them.
-    """
+    """A text's probability: of each word, (1 - ``end``) times its marginal over all segmentations; of its end, ``end``."""
 
     weights: Weights
-    discount: float
-    freed: float
-    total: int
-    end: float = 0.01
+    end: float
 
-    def log_probability(self, counts: np.ndarray, marginal: np.ndarray) -> np.ndarray:
-        seen = np.maximum(counts - self.discount, 0.0)
-        with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(seen), np.log(self.freed + 1) + marginal) - np.log(self.total + 1)
+    def log_probability(self, words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
+        """Natural logs for ``words``; END stands for the end."""
+        is_end = np.array([w == END for w in words], bool)
+        marginal, _ = lattice([b"" if w == END else WORD_START + w for w in words], vocabulary, self.weights)
+        return np.where(is_end, np.log(self.end), marginal + np.log(1 - self.end))
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
@@ -233,7 +227,7 @@ def word_counts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
                     yield common.batch_of({"word": words[at : at + 50_000], "c": part * k, "c_all": part}, {"word": pa.binary()})
                 both[k].clear()
 
-        for batch in batches:
+        for batch in common.sliced(batches):
             for body, learn in zip(common.texts(batch.column("text")), batch.column("train").to_pylist()):
                 own = both[1 if learn else 0]
                 own.update(body.lower().split())
@@ -242,26 +236,26 @@ def word_counts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
                     yield from flush()
         yield from flush()
 
-    common.small_batches(docs.sparkSession)
     return source.mapInArrow(run, "word binary, c long, c_all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
-def learn(counts: DataFrame, path: str, rounds: int = 5, smoothing: float = 0.01) -> Model:
+def learn(counts: DataFrame, path: str, rounds: int = 5, smoothing: float = 0.01, end: float = 0.01) -> Model:
     """The model of the words counted in training.
 
-    Piece weights by expectation maximisation over all distinct training words:
-    the vocabulary's own scores weight all segmentations in the first round, the
-    learned weights in the later ones. Each of the ``rounds`` goes over all words,
-    whatever their number; each task sums its words' expected piece uses, and the
-    driver gets one sum per piece of the vocabulary.
+    Piece weights by expectation maximisation: the vocabulary's own scores weight
+    all segmentations in the first round, the learned weights in the later ones,
+    and a word counts as often as it occurs. Each of the ``rounds`` goes over all
+    distinct training words, whatever their number; each task sums its words'
+    expected piece uses, and the driver gets one sum per piece of the vocabulary.
+    The probability of the end is its share of the training tokens; ``end`` if there are none.
     """
     spark = counts.sparkSession
     vocabulary = _vocabulary(path)
     trained = counts.filter("c > 0")
-    facts = trained.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
-    words = trained.filter(F.col("word") != F.lit(END)).select("word")
+    facts = trained.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
+    words = trained.filter(F.col("word") != F.lit(END)).select("word", "c")
     weights = Weights.prior(vocabulary)
-    for _ in range(rounds if facts["v"] else 0):
+    for _ in range(rounds if facts["n"] else 0):
         shared = spark.sparkContext.broadcast(weights)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -269,7 +263,7 @@ def learn(counts: DataFrame, path: str, rounds: int = 5, smoothing: float = 0.01
             total = np.zeros(2 * len(shared.value.first) + 1)
             for part in gathered(batches):
                 body = [WORD_START + w for w in part.column("word").to_pylist()]
-                total += np.concatenate(lattice(body, vocabulary, shared.value, np.ones(len(body)))[1])
+                total += np.concatenate(lattice(body, vocabulary, shared.value, part.column("c").to_numpy().astype(float))[1])
             at = np.flatnonzero(total)
             yield common.batch_of({"piece": at.astype(np.int32), "uses": total[at]})
 
@@ -278,9 +272,9 @@ def learn(counts: DataFrame, path: str, rounds: int = 5, smoothing: float = 0.01
             uses[r["piece"]] += r["uses"]
         first, later = np.split(uses, [len(weights.first)])
         weights = Weights(np.log(first / first.sum()), np.log(later / later.sum()))
-    ones, twos = facts["ones"] or 0, facts["twos"] or 0
-    discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
-    return Model(weights, discount, discount * facts["v"], facts["n"] or 0)
+    if facts["n"]:
+        end = ((facts["ends"] or 0) + 0.5) / (facts["n"] + 1)
+    return Model(weights, end)
 
 
 def score(docs: DataFrame, train: Column, path: str, doc_id: str = "doc_id", text: str = "text", rounds: int = 5, frequent: int = 100_000) -> DataFrame:
@@ -288,10 +282,9 @@ def score(docs: DataFrame, train: Column, path: str, doc_id: str = "doc_id", tex
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score and score, both
     log10. Tokens are the lower-cased white-space words and one end. The base is a
-    smoothed word unigram. The score is the marginal probability of the text's
-    words over all their segmentations into vocabulary pieces, with the word
-    itself, weighted by its discounted training count, as one more segmentation
-    (``Model``). Words do not share pieces, so a text's forward recursion is the
+    smoothed word unigram. The score is the marginal probability of the text over
+    all segmentations of all its words, known or not, into vocabulary pieces
+    (``Model``). No piece spans two words, so the text's forward recursion is the
     sum of its words'; each distinct word of the corpus goes through the lattice
     once.
 
@@ -313,10 +306,9 @@ def score(docs: DataFrame, train: Column, path: str, doc_id: str = "doc_id", tex
     def word_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part in gathered(batches):
-            words, c = part.column("word").to_pylist(), part.column("c").to_numpy()
-            marginal, _ = lattice([b"" if w == END else WORD_START + w for w in words], _vocabulary(path), m.weights)
-            marginal = np.where([w == END for w in words], np.log(m.end), marginal + np.log(1 - m.end))
-            yield common.batch_of({"word": part.column("word").combine_chunks(), "c": c, "c_all": part.column("c_all").to_numpy(), "score": m.log_probability(c, marginal) / ln10})
+            words = part.column("word").to_pylist()
+            own = m.log_probability(words, _vocabulary(path)) / ln10
+            yield common.batch_of({"word": part.column("word").combine_chunks(), "c": part.column("c").to_numpy(), "c_all": part.column("c_all").to_numpy(), "score": own})
 
     scored = common.cut(counts.mapInArrow(word_scores, "word binary, c long, c_all long, score double"))
     frequent_rows = scored.filter(F.col("c_all") * frequent >= n_all).toLocalIterator()

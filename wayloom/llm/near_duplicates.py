@@ -184,7 +184,6 @@ def check_units(rows: DataFrame, width: int, percent: int) -> DataFrame:
         if sets:
             yield found()
 
-    common.small_batches(rows.sparkSession)
     return dealt.select("unit", "id", "asks", "text").mapInArrow(run, "a long, b long")
 
 
