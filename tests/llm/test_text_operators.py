@@ -63,11 +63,28 @@ def test_lattice_is_the_sum_over_all_segmentations():
     assert math.isclose(uses[0].sum(), len(words), rel_tol=1e-9) and math.isclose(uses[1][-1], len(words), rel_tol=1e-9)
 
 
-def test_word_model_is_a_distribution():
-    weights = lattice.Weights(np.zeros(1), np.zeros(1))
-    model = lattice.Model(weights, 0.5, 0.5 * 3, 10)
-    p = np.exp(model.log_probability(np.array([5, 4, 1, 0]), np.log(np.array([0.1, 0.2, 0.3, 0.4]))))
-    assert math.isclose(p.sum(), 1.0, rel_tol=1e-12)
+def test_text_score_is_the_sum_over_all_segmentations(spark):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    rows = [(1, "the cat"), (2, "a cat sat"), (3, "zq the"), (4, None), (5, "no at"), (7, "The THE the at")]
+    docs, known = frame(spark, rows), F.col("doc_id") < 5
+    got = {r["doc_id"]: r["score"] for r in lattice.score(docs, known, path, frequent=3).collect()}
+    model = lattice.learn(lattice.word_counts(docs, known), path)
+    v = lattice.Vocabulary.from_sentencepiece(path)
+    at, first, later = {p: i for i, p in enumerate(v.pieces)}, model.weights.first, model.weights.later
+    assert math.isclose(model.end, 4.5 / 12)  # 4 ends among the 11 tokens of rows 1 to 4
+    for i, t in rows:
+        total = math.log(model.end)
+        for w in low(t).split():  # known words, repeated words and unknown words alike
+            every = (s for s in _segmentations("\u2581".encode() + w.encode(), at))
+            total += math.log(1 - model.end) + math.log(sum(math.exp(first[at[s[0]]] + sum(later[at[p]] for p in s[1:]) + later[-1]) for s in every))
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-9)
+
+
+def test_learning_raises_the_probability_of_what_is_learned(spark):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    docs = frame(spark, [(i, "ouwhea thandable ertion " * (1 + i % 3)) for i in range(30)])
+    mean = [lattice.score(docs, F.lit(True), path, rounds=n).agg(F.avg("score")).first()[0] for n in (0, 1, 3)]
+    assert mean[0] < mean[1] < mean[2]
 
 
 def test_scores_and_base(spark):
@@ -142,13 +159,15 @@ def test_line_rules(spark):
     spam = "buy now best offer of the whole long year " * 2
     body = lambda i: "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(6))
     rows = EDGE + [(100 + i, f"{spam}\n{body(i)}") for i in range(30)] + [(200 + i, "\n".join([f"Buy NOW best offer of the  whole long year {i % 10}"] * 1 + [spam] * 6 + [body(i)[:40]])) for i in range(30)]
-    rows += [(300 + i, body(999)) for i in range(40)]
+    rows += [(300 + i, body(999)) for i in range(40)] + [(400, "\n".join(" ".join("k" + a + b for a in "abcdefghijkl") for b in "mnopqr"))] * 40
     got = {}
-    for r in line_rules.line_rules(frame(spark, rows)).collect():
+    limits = {"min_docs": 20, "share": 0.01}
+    for r in line_rules.line_rules(frame(spark, rows), **limits).collect():
         got.setdefault(r["doc_id"], r)
     assert all(got[100 + i]["kept"] and got[100 + i]["n_removed_words"] == 18 for i in range(30))
     assert not any(got[200 + i]["kept"] for i in range(30))
-    assert all(got[300 + i]["kept"] and got[300 + i]["n_removed_words"] == 0 for i in range(40)), "copies are no boilerplate"
+    assert all(not got[300 + i]["kept"] and got[300 + i]["n_removed_words"] == 72 for i in range(40)), "documents count, not texts"
+    assert got[400]["n_removed_words"] == 0 and got[400]["kept"], "repeated rows are one document"
     assert got[1]["n_words"] == got[2]["n_words"] == got[3]["n_words"] == 0 and not got[1]["kept"]
     for i, t in rows:
         if i is None:
@@ -163,12 +182,24 @@ def test_line_rules(spark):
                 seen.add(line)
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(marked))
-    again = {r["doc_id"]: r["kept"] for r in line_rules.line_rules(frame(spark, rows), broadcast_rows=0).collect()}
+    again = {r["doc_id"]: r["kept"] for r in line_rules.line_rules(frame(spark, rows), broadcast_rows=0, **limits).collect()}
     assert all(again[k] == v["kept"] for k, v in got.items())
     assert line_rules.line_rules(frame(spark, EDGE).limit(0)).count() == 0
     assert line_rules.line_rules(frame(spark, EDGE, None)).count() == len(EDGE)
 
 
+def test_line_limits(spark):
+    """A line on exactly the limit stays, one document more takes it out; hosts and null hosts count apart; too few words left is depleted."""
+    own = lambda i, n=60: " ".join(f"{chr(97 + i)}w{k}" for k in range(n))
+    rows = [(i, f"Line A 1\n{own(i)}", "x") for i in range(5)] + [(10 + i, f"line  a 2\n{own(10 + i)}", "y") for i in range(6)] + [(20 + i, f"line a 3\n{own(20 + i, 48 + i)}", None) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in line_rules.line_rules(docs).collect()}
+    assert all(got[i]["n_removed_words"] == 0 and got[i]["kept"] for i in range(5))
+    assert all(got[10 + i]["n_removed_words"] == 3 and got[10 + i]["kept"] for i in range(6))
+    assert [got[20 + i]["kept"] for i in range(6)] == [False, False, True, True, True, True] and not any(got[20 + i]["base_failed"] for i in range(6))
+    assert all(r["n_removed_words"] == 0 for r in line_rules.line_rules(docs, share=1.0).collect())
+
+
 def _jump(key, n):
     key &= (1 << 64) - 1
     b, j = -1, 0

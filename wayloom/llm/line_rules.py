@@ -76,20 +76,20 @@ _ARROW = pa.schema(
 
 def line_rules(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-    min_docs: int = 20, share: float = 0.01, min_left: float = 0.3, min_words: int = 50, max_repeat: float = 0.5, broadcast_rows: int = 200_000,
+    min_docs: int = 5, share: float = 0.05, min_left: float = 0.3, min_words: int = 50, max_repeat: float = 0.5, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """Measure every text, take out lines that too many documents of its host share, and judge what is left.
 
     A normalised line is over the limit on a host if more than ``min_docs`` and
-    more than ``share`` of the host's documents have it. Exact copies of a text
-    count as one document of the host: a copied document is no boilerplate. A
+    more than ``share`` of the host's documents have it. A document counts by its
+    id and text: repeated rows count once, copies under ids of their own each. A
     document is kept if it has at least ``min_words`` words, at most ``max_repeat``
-    of them in repeated 3-word windows, and at least ``min_left`` of its words
-    outside lines over the limit.
+    of them in repeated 3-word windows, and is not depleted: at least ``min_words``
+    and at least ``min_left`` of its words are outside lines over the limit.
 
-    Null text: no words, not kept. Null host: a host of its own. Repeated rows
-    stay and count once. Result columns: doc_id, host, the measures, n_removed_words,
-    base_failed, kept. An empty table gives an empty result.
+    Null text: no words, not kept. Documents without a host share one. Result
+    columns: doc_id, host, the measures, n_removed_words, base_failed, kept. An
+    empty table gives an empty result; other columns are not read.
     """
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\0")).alias("host"))
 
@@ -98,8 +98,12 @@ def line_rules(
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     measured = common.cut(common.map_arrow(source, measure, _SCHEMA)).withColumn("row", F.monotonically_increasing_id())
-    per_host = measured.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    lines = measured.select("host", "text_key", F.explode("lines.key").alias("key")).distinct()
+    # a row number for each document, so that its lines are told apart without its text's key
+    once = measured.groupBy("host", "doc_id", "text_key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"))
+    repeats = once.filter("rows > 1").select("host", "doc_id", "text_key", F.col("row").alias("first"))
+    per_host = once.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    told = measured.join(repeats.withColumnsRenamed({"host": "r_host", "doc_id": "r_id", "text_key": "r_key"}), F.col("host").eqNullSafe(F.col("r_host")) & F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")), "left")
+    lines = told.filter(F.col("first").isNull() | (F.col("first") == F.col("row"))).select("host", F.explode("lines.key").alias("key"))
     counted = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
     over = common.cut(counted.join(per_host, "host").filter(F.col("n") > F.col("host_docs") * F.lit(share)).select(F.col("host").alias("o_host"), F.col("key").alias("o_key")))
     own = measured.select("row", "host", F.explode("lines").alias("line"))
@@ -111,4 +115,5 @@ def line_rules(
     n = F.col("n_words")
     failed = (n < min_words) | (F.col("n_repeat_words") > F.lit(max_repeat) * n)
     gone = F.coalesce("n_removed_words", F.lit(0).cast("long"))
-    return judged.withColumns({"n_removed_words": gone, "base_failed": failed, "kept": ~failed & (n - gone >= F.lit(min_left) * n)}).withColumn("host", F.nullif("host", F.lit("\0")))
+    left = n - gone
+    return judged.withColumns({"n_removed_words": gone, "base_failed": failed, "kept": ~failed & (left >= min_words) & (left >= F.lit(min_left) * n)}).withColumn("host", F.nullif("host", F.lit("\0")))

@@ -45,19 +45,22 @@ roots AS (SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, coalesce(r.root, d.doc_id) = d.doc_id AS kept
 FROM dw d LEFT JOIN sized s ON s.doc_id = d.doc_id LEFT JOIN roots r ON r.doc_id = d.doc_id"""
 
-ORACLES["op5_line_rules"] = rf"""
-WITH dw AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(0)) AS host, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+_LINE_RULES = rf"""
+dw AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(0)) AS host, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM @),
 win AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM dw WHERE len(w) > 2)),
 rep AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS spot FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
 ln AS MATERIALIZED (SELECT doc_id, host, text, line, len(regexp_extract_all(line, '{_SPACED}')) AS n,
   regexp_replace(array_to_string(regexp_extract_all({_LOWER.format("line")}, '{_SPACED}'), ' '), '[0-9]', '0', 'g') AS k
   FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM dw) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, CAST(sum(c - 1) AS BIGINT) AS n FROM (SELECT doc_id, line, count(*) AS c FROM ln GROUP BY doc_id, line) GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT text) AS d FROM dw GROUP BY host),
-over AS (SELECT l.host, l.k FROM (SELECT host, k, count(DISTINCT text) AS c FROM ln GROUP BY host, k) l JOIN hosts h ON h.host = l.host WHERE c > 20 AND c > h.d * CAST(0.01 AS DOUBLE)),
+hosts AS (SELECT host, count(*) AS d FROM (SELECT DISTINCT host, doc_id, text FROM dw) GROUP BY host),
+over AS (SELECT l.host, l.k FROM (SELECT host, k, count(*) AS c FROM (SELECT DISTINCT host, k, doc_id, text FROM ln) GROUP BY host, k) l JOIN hosts h ON h.host = l.host WHERE c > 5 AND c > h.d * CAST(0.05 AS DOUBLE)),
 gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM ln JOIN over o ON o.host = ln.host AND o.k = ln.k GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(length(array_to_string(d.w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(g.n, 0) AS n_removed_words
   FROM dw d LEFT JOIN dup u ON u.doc_id = d.doc_id LEFT JOIN rep r ON r.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = d.doc_id)
 SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= CAST(0.3 AS DOUBLE) * n_words AS kept FROM m"""
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 50 AND n_words - n_removed_words >= CAST(0.3 AS DOUBLE) * n_words AS kept FROM m"""
+ORACLES["op5_line_rules"] = "WITH " + _LINE_RULES.replace("@", "documents")
+
+ORACLES["line_rules_with_banners"] = "WITH bannered AS MATERIALIZED (SELECT doc_id, source, repeat('Terms of ' || source || ' hold for all that is said here' || chr(10), 7) || chr(10) || coalesce(text, '') AS text FROM documents)," + _LINE_RULES.replace("@", "bannered")

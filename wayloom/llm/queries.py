@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +11,8 @@ from . import chat, decontamination, html, language, lattice, line_rules, near_d
 from .common import remainder, table
 from .oracles import ORACLES  # noqa: F401
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("WAYLOOM_TOKENIZERS")
 
-
-def vocabulary(name: str, folder: str | None = TOKENIZERS) -> str:
+def vocabulary(name: str, folder: str | None = None) -> str:
     """Where a public tokenizer's file lies: in ``folder``, or where its package has it."""
     if folder:
         return f"{folder}/{name}"
@@ -53,6 +49,14 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def line_rules_with_banners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line rules on documents that each begin with a banner of their source: banners go, and short texts are then depleted."""
+    banner = F.repeat(F.concat(F.lit("Terms of "), "source", F.lit(" hold for all that is said here\n")), F.lit(7))
+    bannered = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(banner, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    judged = line_rules.line_rules(bannered)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, train=remainder(F.col("id"), 4) != 2)
@@ -83,6 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lattice_likelihood, op2_decontamination, op3_chat_format, op4_near_duplicates, op5_line_rules,
-        op6_language, op7_quality, op8_sharding, op9_main_text, op10_packing,
+        op6_language, op7_quality, op8_sharding, op9_main_text, op10_packing, line_rules_with_banners,
     )
 }
