@@ -161,43 +161,39 @@ class Plan:
         self.sequences += repeat
 
 
-def combinations(lengths: list[int], window: int, most: int = 6000) -> list[tuple[int, ...]]:
-    """Pairs, triples and quadruples of the given lengths that fill the window exactly."""
-    have = set(lengths)
-    out: dict[tuple[int, ...], None] = {}
-    for a in sorted(have):
-        if 2 * a <= window and window - a in have:
-            out[(window - a, a)] = None
-    ordered = sorted(have, reverse=True)
-    step = max(1, len(ordered) // 160)
-    sparse = ordered[::step]
-    for i, a in enumerate(sparse):
-        for b in sparse[i:]:
-            c = window - a - b
-            if 0 < c <= b and c in have and len(out) < most:
-                out[(a, b, c)] = None
-    step = max(1, len(ordered) // 24)
-    sparse = ordered[::step]
-    for i, a in enumerate(sparse):
-        for j, b in enumerate(sparse[i:], i):
-            for c in sparse[j:]:
-                d = window - a - b - c
-                if 0 < d <= c and d in have and len(out) < 2 * most:
-                    out[(a, b, c, d)] = None
-    return list(out)
-
-
-def non_negative(columns: list[tuple[int, ...]], target: np.ndarray, sweeps: int = 60) -> np.ndarray:
+def combinations(lengths: list[int], window: int) -> np.ndarray:
+    """All pairs and triples of the given lengths that fill the window exactly, one a row; a pair has a 0 in the end.
+
+    They are at most window / 2 and window^2 / 12, whatever the number of pieces.
+    """
+    have = np.zeros(window + 1, bool)
+    have[[v for v in lengths if 0 < v < window]] = True
+    own = np.flatnonzero(have)
+    out = [np.zeros((0, 3), np.int32)]
+    pairs = own[2 * own <= window]
+    pairs = pairs[have[window - pairs]]
+    out.append(np.column_stack([window - pairs, pairs, np.zeros_like(pairs)]))
+    for c in own[3 * own <= window]:
+        b = own[(own >= c) & (2 * own <= window - c)]
+        b = b[have[window - c - b]]
+        out.append(np.column_stack([window - c - b, b, np.full_like(b, c)]))
+    return np.concatenate(out).astype(np.int32)
+
+
+def non_negative(columns: list[tuple[int, ...]], target: np.ndarray, sweeps: int = 60, start: list[float] | None = None) -> np.ndarray:
     """Repeat counts x >= 0 that bring the columns' lengths closest to ``target``, by coordinate descent.
 
     Each step solves one count exactly with the others held, which never
-    worsens the squared distance.
+    worsens the squared distance; ``start`` gives the counts to begin with.
     """
     parts = [tuple(sorted(set(c))) for c in columns]
     times = [tuple(c.count(v) for v in p) for c, p in zip(columns, parts)]
     norm = [sum(t * t for t in own) for own in times]
-    x = [0.0] * len(columns)
+    x = list(start) if start is not None else [0.0] * len(columns)
     rest = target.astype(float).tolist()
+    for own, t, n in zip(parts, times, x):
+        for v, k in zip(own, t):
+            rest[v] -= n * k
     for _ in range(sweeps):
         moved = 0.0
         for j, (own, t) in enumerate(zip(parts, times)):
@@ -213,13 +209,52 @@ def non_negative(columns: list[tuple[int, ...]], target: np.ndarray, sweeps: int
     return np.array(x)
 
 
+def fill(table: np.ndarray, target: np.ndarray, rounds: int = 12, each: int = 3) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """Least squares over all rows of ``table``: the columns that take part, and their counts.
+
+    Columns enter as they are wanted: each round looks at every column and adds
+    those along which the distance still falls most, at most ``each`` for a
+    length, then solves again from where it stood. It ends when no column is left
+    that would bring half a repeat, or after ``rounds``; what is unsolved then is left to the greedy rest.
+    """
+    at: list[int] = []
+    columns: list[tuple[int, ...]] = []
+    x = np.zeros(0)
+    used = table > 0
+    size = used.sum(axis=1)
+    for _ in range(rounds):
+        rest = target.astype(float).copy()
+        for c, n in zip(columns, x):
+            for v in c:
+                rest[v] -= n
+        gain = np.where(used, rest[table], 0.0).sum(axis=1)
+        gain[at] = 0.0
+        wanted = np.flatnonzero(gain > 0.5 * size)
+        taken, more = [0] * len(target), []
+        first = wanted[np.argsort(-gain[wanted], kind="stable")][:20_000]  # others come in a later round
+        for k, row in zip(first.tolist(), table[first].tolist()):
+            own = [v for v in row if v]
+            if all(taken[v] < each for v in own):
+                for v in own:
+                    taken[v] += 1
+                more.append(k)
+        if not more:
+            break
+        at += more
+        columns += [tuple(int(v) for v in table[k][used[k]]) for k in more]
+        x = non_negative(columns, target, 15, [*x, *[0.0] * len(more)])
+        keep = np.flatnonzero(x > 0)
+        at, columns, x = [at[k] for k in keep], [columns[k] for k in keep], x[keep]
+    return columns, x
+
+
 def plan(histogram: dict[int, int], window: int = 2048) -> Plan:
     """A packing of ``histogram[length]`` pieces of each length.
 
     Works on counts, not pieces, so its cost depends on ``window`` alone. Full
-    windows stand alone; exact combinations get rounded least-squares counts;
-    what is left is packed longest first, each time with the longest lengths
-    that still fit, as often as the counts allow.
+    windows stand alone; all pairs and triples that fill the window get rounded
+    least-squares counts; what is left is packed longest first, each time with
+    the longest lengths that still fit, as often as the counts allow.
     """
     left = np.zeros(window + 1, np.int64)
     for length, n in histogram.items():
@@ -228,8 +263,8 @@ def plan(histogram: dict[int, int], window: int = 2048) -> Plan:
     if left[window]:
         out.add([window], int(left[window]))
         left[window] = 0
-    columns = combinations([int(v) for v in np.flatnonzero(left)], window)
-    for column, x in sorted(zip(columns, non_negative(columns, left)), key=lambda p: (-p[1], p[0])):
+    columns, counts = fill(combinations([int(v) for v in np.flatnonzero(left)], window), left)
+    for column, x in sorted(zip(columns, counts), key=lambda p: (-p[1], p[0])):
         repeat = min([int(x + 0.5), *(int(left[v]) // column.count(v) for v in set(column))])
         if repeat > 0:
             out.add(list(column), repeat)
@@ -252,7 +287,7 @@ def plan(histogram: dict[int, int], window: int = 2048) -> Plan:
     return out
 
 
-def pack(docs: DataFrame, path: str, window: int = 2048, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, rows_per_bucket: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 2048, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, rows_per_bucket: int | None = None) -> DataFrame:
     """Cut and pack the ids of all documents into sequences of at most ``window``.
 
     Every id lies in exactly one piece, and pieces of one sequence lie one after
