@@ -157,8 +157,34 @@ def links(sets: list[np.ndarray], asks: np.ndarray, percent: int) -> list[tuple[
     return out
 
 
+def check_heads(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: verified links of each member to its head; ``rows``: head, chunk, is_head, id, text.
+
+    Each head and chunk is read in one stream, the head first; memory holds the
+    head's set and one member's.
+    """
+    dealt = rows.repartition("head", "chunk").sortWithinPartitions("head", "chunk", F.desc("is_head"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
+        for batch in common.sliced(batches):
+            a, b = [], []
+            for head, is_head, i, body in zip(batch.column("head").to_pylist(), batch.column("is_head").to_pylist(), batch.column("id").to_pylist(), common.texts(batch.column("text"))):
+                s = shingle_set(body, width)
+                if is_head:
+                    own = s
+                    continue
+                k = len(np.intersect1d(own, s, assume_unique=True))
+                if 100 * k >= percent * (len(own) + len(s) - k):
+                    a.append(i)
+                    b.append(head)
+            yield common.batch_of({"a": a, "b": b}, {"a": pa.int64(), "b": pa.int64()})
+
+    return dealt.select("head", "is_head", "id", "text").mapInArrow(run, "a long, b long")
+
+
 def check_units(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: verified links within each unit of ``rows`` (unit, id, asks, text).
+    """a, b: verified links within each unit of ``rows`` (unit, id, asks, text) between a row that asks and any other.
 
     A unit, whose size the caller bounds, lies in one task together; the task
     reads its units one after another.
@@ -172,7 +198,7 @@ def check_units(rows: DataFrame, width: int, percent: int) -> DataFrame:
             pairs = links(sets, np.array(asks, bool), percent) if len(sets) > 1 else []
             return common.batch_of({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]}, {"a": pa.int64(), "b": pa.int64()})
 
-        for batch in batches:
+        for batch in common.sliced(batches):
             for u, i, q, body in zip(batch.column("unit").to_pylist(), batch.column("id").to_pylist(), batch.column("asks").to_pylist(), common.texts(batch.column("text"))):
                 if u != unit and sets:
                     yield found()
@@ -224,7 +250,7 @@ def texts_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str, width:
 
 def _grouped(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85,
-    bands: int = 36, rows: int = 7, unit_docs: int = 1000, unit_shingles: int = 1_500_000, pivots: int = 16,
+    bands: int = 36, rows: int = 7, unit_docs: int = 128, unit_shingles: int = 1_000_000, pivots: int = 2,
 ) -> DataFrame:
     """id, n, key of every row, and first_id, first_key: the smallest id of its component and the set of a row with it.
 
@@ -236,18 +262,23 @@ def _grouped(
     each = signed.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     classes = common.cut(each.withColumn("node", F.monotonically_increasing_id()))
     keyed = classes.select("node", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "head")
-    star = keyed.join(heads, "band").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    blocks = connected(star).withColumnRenamed("root", "block")
-    sized = blocks.join(classes.select("node", "id", "key", "n"), "node")
-    members = common.cut(sized.join(sized.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")), "block"))
-    bodies = common.cut(texts_of(docs, members, doc_id, text, width).drop("id").withColumnRenamed("node", "id"))
-    small = (F.col("m") <= unit_docs) & (F.col("s") <= unit_shingles)
-    verified = common.cut(check_units(bodies.filter(small).select(F.struct("block", F.lit(0).alias("i"), F.lit(0).alias("j")).cast("string").alias("unit"), "id", F.lit(True).alias("asks"), "text"), width, percent))
-    large = bodies.filter(~small).withColumn("chunks", F.greatest(F.ceil(F.col("m") / unit_docs), F.ceil(F.col("s") / unit_shingles)).cast("int"))
-    if not members.filter(~small).isEmpty():
-        verified = verified.unionByName(_large_blocks(large, width, percent, pivots, unit_docs, unit_shingles))
+    # the same order of nodes in every band, so that a family has few heads
+    least = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "node"), F.col("node").alias("node")))["node"]
+    buckets = keyed.groupBy("band").agg(F.array_distinct(F.array(*map(least, range(pivots)))).alias("heads"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = common.cut(keyed.join(buckets, "band"))
+    star = common.cut(shared.select("node", F.explode("heads").alias("head")).filter("node <> head").distinct())
+    members = star.select("node").union(star.select("head")).distinct().join(classes.select("node", "id", "key", "n"), "node")
+    bodies = common.cut(texts_of(docs, members, doc_id, text, width).select(F.col("node").alias("id"), "text", "n"))
+    chunks = star.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / unit_docs).cast("int").alias("chunks"))
+    asked = star.join(chunks, "head").join(bodies.withColumnRenamed("id", "node"), "node")
+    asked = asked.select("head", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("is_head"), F.col("node").alias("id"), "text")
+    heads = chunks.join(bodies, chunks["head"] == bodies["id"]).select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("is_head"), "id", "text")
+    verified = common.cut(check_heads(asked.unionByName(heads), width, percent))
     roots = connected(verified)
+    open_ = common.cut(_unresolved(shared, roots, classes, percent))
+    if not open_.isEmpty():
+        verified = verified.unionByName(common.cut(check_units(_units(open_, bodies, unit_docs, unit_shingles), width, percent)))
+        roots = connected(verified)
     linked = classes.select("node", "id", "key", "copies").join(roots, "node", "left")
     first = linked.filter("root is not null").groupBy("root").agg(F.min(F.struct("id", "key")).alias("f"))
     # of the classes, only those with copies or links need to be told to the rows
@@ -255,6 +286,44 @@ def _grouped(
     return sets.join(told, "key", "left")
 
 
+def _unresolved(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """band, node, n, asks: of each bucket in which links may still be missing, the classes to compare.
+
+    A bucket is settled if its classes are connected already, or if all pairs
+    were compared, as at most one class is no head. In the others, the classes
+    outside the bucket's largest component ask, and all with a set size that can
+    be linked to one of theirs hear. Buckets of the same classes count once.
+    """
+    at = shared.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), "m", F.size("heads").alias("h"))
+    left = at.groupBy("band", "m", "h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same")).filter("r <> s and h < m - 1")
+    once = left.groupBy("m", "same").agg(F.min("band").alias("band")).select("band")
+    rows = at.join(once, "band", "left_semi").join(classes.select("node", "n"), "node")
+    main = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("main"))
+    rows = rows.join(main, "band").withColumn("asks", F.col("root") != F.col("main"))
+    sizes = rows.filter("asks").groupBy("band").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    near = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("n") * percent <= F.col("high") * 100)
+    return rows.join(sizes, "band").filter(F.col("asks") | near).select("band", "node", "n", "asks")
+
+
+def _units(open_: DataFrame, bodies: DataFrame, unit_docs: int, unit_shingles: int) -> DataFrame:
+    """unit, id, asks, text: every asking class of a bucket meets every class of it in some bounded unit.
+
+    Those that ask are dealt into rows, all classes into columns of a grid; a
+    unit is a row and a column together.
+    """
+    few, most = max(1, unit_docs // 4), max(1, unit_docs - unit_docs // 4)
+    parts = lambda c, size, share: F.greatest(F.ceil(F.count(F.when(c, 1)) / size), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / (unit_shingles * share)), F.lit(1)).cast("int")
+    grid = open_.groupBy("band").agg(parts(F.col("asks"), few, 0.25).alias("rows"), parts(F.lit(True), most, 0.75).alias("columns"))
+    told = open_.join(grid, "band")
+    spot = lambda k, n: F.pmod(F.xxhash64(F.lit(k), "node"), F.col(n)).cast("int")
+    asks = told.filter("asks").withColumn("i", spot("row", "rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    hears = told.withColumn("j", spot("column", "columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    placed = asks.select("band", "i", "j", "node", F.lit(True).alias("asks")).unionByName(hears.select("band", "i", "j", "node", F.lit(False).alias("asks")))
+    # a class that asks in a unit need not be there twice
+    once = placed.groupBy("band", "i", "j", "node").agg(F.max("asks").alias("asks"))
+    return once.join(bodies.withColumnRenamed("id", "node"), "node").select(F.concat_ws("/", "band", "i", "j").alias("unit"), F.col("node").alias("id"), "asks", "text")
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; ``options`` and their values are those of ``_grouped``.
 
@@ -265,49 +334,23 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     1. Rows of equal sets are one class from then on, so copies cost nothing more.
     2. Classes that share a band key are candidates. With ``bands`` bands of
        ``rows`` rows a pair at 0.85 is missed once in a million times.
-    3. Candidates connected by shared keys form a block; links are looked for only
-       within blocks, always on the full sets. A block of at most ``unit_docs``
-       classes is one unit of work. In a larger one, every class is compared with
-       ``pivots`` of its classes; whatever is outside the largest group found that
-       way is then compared with all of the block, in bounded units. No pairs are
-       written out and none is left out.
+    3. Every class is compared with the ``pivots`` heads of each bucket it is in,
+       on the full sets, in streams that hold one head.
+    4. Where that leaves a bucket in several components, the classes outside its
+       largest one are compared with all classes of the bucket, in units of at most about
+       ``unit_docs`` classes and ``unit_shingles`` shingles. Buckets are never
+       merged, so chains of unlike families cost nothing. No pairs are written
+       out and none of a bucket is left out.
 
     Repeated rows keep a row each. Null ids count as one smallest id, and come
-    back as null. An empty table gives an empty result.
+    back as null; so does the id -2^63, which stands for them inside. An empty
+    table gives an empty result; other columns are not read.
     """
     back = lambda c: F.nullif(c, F.lit(NO_ID).cast("long"))
     out = _grouped(docs, doc_id, text, **options)
     return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("first_id", "id")).alias("component_id"))
 
 
-def _large_blocks(large: DataFrame, width: int, percent: int, pivots: int, unit_docs: int, unit_shingles: int) -> DataFrame:
-    """Links within blocks too large for one unit."""
-    spot = F.xxhash64("id", "key")
-    chunk = lambda n: F.pmod(F.xxhash64(F.lit("chunk"), "id", "key"), n)
-    best = large.select("block", "id", spot.alias("h"))
-    # the pivots are those with the smallest hashes, found by a threshold that keeps a few more, then ranked
-    few = best.join(large.groupBy("block").agg(F.count(F.lit(1)).alias("m2")), "block").filter(F.pmod("h", F.lit(1 << 20)) * F.col("m2") <= F.lit(4 * pivots) * F.lit(1 << 20))
-    chosen = few.selectExpr("block", "id", "h", "row_number() over (partition by block order by h, id) as r").filter(F.col("r") <= pivots).select("block", "id")
-    asking = large.join(chosen, ["block", "id"], "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    unit = lambda i, j: F.concat_ws("/", "block", i, j)
-    first = asking.select(unit(F.lit("p"), F.col("i")).alias("unit"), "id", F.lit(True).alias("asks"), "text").unionByName(
-        large.join(chosen, ["block", "id"], "left_anti").select(unit(F.lit("p"), chunk(F.col("chunks"))).alias("unit"), "id", F.lit(False).alias("asks"), "text")
-    )
-    found = common.cut(check_units(first, width, percent))
-    roots = connected(found)
-    placed = large.select("block", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    main = placed.groupBy("block", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("main"))
-    outside = common.cut(placed.join(main, "block").filter("root <> main").select("block", "id"))
-    amount = outside.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / unit_docs).cast("int").alias("parts"))
-    told = large.join(amount, "block")
-    per = F.greatest(F.col("parts"), F.least(F.col("chunks"), F.ceil(F.col("s") / unit_shingles).cast("int")))
-    told = told.withColumn("parts", per)
-    asks = told.join(outside, ["block", "id"], "left_semi").withColumn("i", chunk(F.col("parts"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    heard = told.withColumn("j", chunk(F.col("chunks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    second = asks.select(unit("i", "j").alias("unit"), "id", F.lit(True).alias("asks"), "text").unionByName(heard.select(unit("i", "j").alias("unit"), "id", F.lit(False).alias("asks"), "text"))
-    return found.unionByName(common.cut(check_units(second, width, percent)))
-
-
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, **options) -> DataFrame:
     """One row of each component, one with the smallest id, with all columns of ``docs``.
 
