@@ -63,4 +63,7 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 50 AND n_words - n_removed_words >= CAST(0.3 AS DOUBLE) * n_words AS kept FROM m"""
 ORACLES["op5_line_rules"] = "WITH " + _LINE_RULES.replace("@", "documents")
 
-ORACLES["line_rules_with_banners"] = "WITH bannered AS MATERIALIZED (SELECT doc_id, source, repeat('Terms of ' || source || ' hold for all that is said here' || chr(10), 7) || chr(10) || coalesce(text, '') AS text FROM documents)," + _LINE_RULES.replace("@", "bannered")
+ORACLES["line_rules_with_banners"] = (
+    "WITH bannered AS MATERIALIZED (SELECT doc_id, source, array_to_string(list_transform(range(1, 61), lambda i: 'term' || i || '_' || source), ' ') || chr(10) || coalesce(text, '') AS text FROM documents),"
+    + _LINE_RULES.replace("@", "bannered")
+)

@@ -50,8 +50,8 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_rules_with_banners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line rules on documents that each begin with a banner of their source: banners go, and short texts are then depleted."""
-    banner = F.repeat(F.concat(F.lit("Terms of "), "source", F.lit(" hold for all that is said here\n")), F.lit(7))
+    """The line rules on documents that each begin with a long line of their source: it goes, and short texts are then depleted."""
+    banner = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("term"), i.cast("string"), F.lit("_"), "source")), " ")
     bannered = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(banner, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
     judged = line_rules.line_rules(bannered)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
