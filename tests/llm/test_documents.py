@@ -292,3 +292,124 @@ def test_hostile_pages_take_linear_time():
         html.main_text(part * (1_000_000 // len(part)))
         assert time.time() - begin < 20
     assert html.main_text("<p>x <a b='y <b>z</p>w") == "x z\nw" and html.main_text("<div title=it's>a</div>b'c") == "a\nb'c"
+
+
+def test_chains_of_unlike_texts_cost_nothing_more(spark, monkeypatch):
+    """One component of shared band keys: the answer is exact, and the rows compared stay in proportion to the texts."""
+    amounts = {}
+
+    def measured(kind, f):
+        def run(rows, *more):
+            amounts[kind] = amounts.get(kind, 0) + rows.count()
+            return f(rows, *more)
+
+        return run
+
+    monkeypatch.setattr(near_duplicates, "check_heads", measured("heads", near_duplicates.check_heads))
+    monkeypatch.setattr(near_duplicates, "check_units", measured("units", near_duplicates.check_units))
+    work = []
+    for n in (60, 240):
+        words = [f"w{k}" for k in range(20 * n + 60)]
+        rows = [(i, " ".join(words[20 * i : 20 * i + 60])) for i in range(n)] + [(1000 + i, " ".join([*words[20 * i : 20 * i + 59], "x"])) for i in range(0, n, 10)]
+        amounts.clear()
+        # bands of one row: any two neighbours of the chain share a key
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.components(frame(spark, rows), bands=40, rows=1, unit_docs=16).collect()}
+        assert got == _components(rows)
+        work.append(sum(amounts.values()) / n)
+    assert work[1] < 1.5 * work[0]
+
+
+def test_a_hot_bucket_of_unlinked_texts(spark):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(60):  # about 0.8 alike, some over the limit, all in common buckets
+        own = list(base)
+        for k in rng.sample(range(120), 3):
+            own[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(own)))
+    want = _components(rows, 90)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.components(frame(spark, rows), percent=90, bands=40, rows=2, unit_docs=8).collect()}
+    assert got == want
+
+
+def test_quality_query_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op7_quality(spark, sf).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7) for i, r in got.items())
+    held = [(got[i]["score"], y) for i, y in labels.items() if y is not None and got[i]["held_out"]]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    assert len(good) > 30 and len(bad) > 5
+    assert np.mean([(s >= 0.5) == (y == 1) for s, y in held]) > 0.9
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.93, "the score ranks held-out rows"
+    assert abs(np.mean([s for s, _ in held]) - np.mean([y for _, y in held])) < 0.1, "and is calibrated"
+
+
+def test_held_out_labels_teach_nothing(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fold = queries.remainder(F.col("doc_id"), 4) == 2
+    turned = labels.withColumn("quality", F.when(fold, 1 - F.col("quality")).otherwise(F.col("quality")))
+    learn = lambda df: quality.fit(docs, df, train=queries.remainder(F.col("id"), 4) != 2)
+    assert learn(labels) == learn(turned)
+    many = docs.unionByName(docs.filter("doc_id = 3").withColumn("n", F.explode(F.array_repeat(F.lit(1), 500))).drop("n"))
+    assert quality.fit(many, labels) == quality.fit(docs, labels), "repeated rows of an id count once"
+    renamed = docs.withColumn("lang", F.when(fold, F.lit("xx")).otherwise(F.col("lang")))
+    a, b = (language.fit(df, train=queries.remainder(F.col("id"), 4) != 2) for df in (docs, renamed))
+    assert a.classes == b.classes and np.array_equal(a.weights, b.weights) and np.array_equal(a.idf, b.idf) and a.temperature == b.temperature
+
+
+def test_language_query_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    true = {r["doc_id"]: (r["lang"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.op6_language(spark, sf).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for i, r in got.items())
+    held = [(r["score"], r["lang_pred"] == true[i][0]) for i, r in got.items() if r["held_out"] and true[i][0] and r["lang_pred"] != "und"]
+    right = np.mean([ok for _, ok in held])
+    assert right > 0.95 and abs(np.mean([s for s, _ in held]) - right) < 0.04, "the score is a calibrated probability"
+
+
+def test_language_by_brute_force(spark):
+    """Document frequencies, sample bound, classes: counted again by hand; a rare language among many rows of another is learned."""
+    rows = [(i, "der und die nicht " + "abc"[i % 3], "de") for i in range(400)] + [(1000 + i, "os ñandú y agua " + "xyz"[i % 3], "es") for i in range(6)] + [(2000, "never", None), (None, "sin número", "es")]
+    docs = spark.createDataFrame(rows + [rows[400]] * 50, "doc_id long, text string, lang string")
+    model = language.fit(docs, sample=40)
+    assert model.classes == ["de", "es"]
+    df = np.zeros(len(model.idf))
+    for _, t, c in rows + [rows[400]] * 50:
+        if c:
+            df[np.unique(language.ngrams(t, model.orders, len(df)))] += 1
+    n = len(rows) - 1 + 50
+    assert np.allclose(model.idf, np.log((1 + n) / (1 + df)) + 1)
+    assert model.predict("ñandú y agua os")[0] == "es" and model.predict("die und der")[0] == "de"
+    many = [(k * 100 + i, f"{chr(0x4E00 + k)}{chr(0x4E00 + k)} {chr(0x4E00 + k)}", f"l{k:03}") for k in range(230) for i in range(2)]
+    assert len(language.fit(spark.createDataFrame(many, "doc_id long, text string, lang string"), buckets=1 << 10, epochs=1).classes) == 230
+
+
+def test_fold_with_one_sequence_for_the_whole_conversation(spark):
+    """Edits and regenerations of earlier messages after later ones."""
+    log = [(1, 0, 1, 0, "open", "user", None), (1, 0, 1, 1, "delta", None, "ask"), (1, 1, 1, 2, "open", "assistant", None), (1, 1, 1, 3, "delta", None, "first "), (1, 2, 1, 4, "open", "user", None), (1, 2, 1, 5, "delta", None, "more")]
+    log += [(1, 0, 1, 6, "edit", None, "asked"), (1, 1, 1, 7, "delta", None, "late"), (1, 1, 1, 8, "regenerate", None, None), (1, 2, 1, 9, "delta", None, "?"), (1, 1, 1, 10, "delta", None, "second"), (1, 0, 1, 11, "delta", None, "!")]
+    df = spark.createDataFrame(log[::-1], "conv_id long, message long, copy int, seq int, kind string, role string, text string")
+    got = {r["message"]: (r["role"], r["text"]) for r in chat.fold(df).collect()}
+    assert got == {0: ("user", "asked!"), 1: ("assistant", "second"), 2: ("user", "more?")}
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    rows = [(1, "Two  spaces and\nA Line."), (2, None), (3, " x")]
+    _check_packing(packing.pack(frame(spark, rows), path, window=4).collect(), dict(rows), Tokenizer.from_file(path), 4)
+
+
+def test_every_filling_combination_takes_part():
+    table = packing.combinations([1, 2, 3, 4, 7, 8, 9], 10)
+    want = {tuple(sorted(c, reverse=True)) for c in [(9, 1, 0), (8, 2, 0), (7, 3, 0), (8, 1, 1), (7, 2, 1), (4, 4, 2), (4, 3, 3)]}
+    assert {tuple(r) for r in table.tolist()} == want and len(table) == len(want)
+    assert len(packing.combinations(list(range(1, 2049)), 2048)) == 1024 + sum((2048 - c) // 2 - c + 1 for c in range(1, 683))
+    target = np.zeros(11)
+    target[[9, 1, 4, 2]] = 5, 5, 6, 3
+    columns, x = packing.fill(packing.combinations([1, 2, 4, 9], 10), target)
+    best = {c: n for c, n in zip(columns, x)}
+    assert abs(best[(9, 1)] - 5) < 0.2 and abs(best[(4, 4, 2)] - 3) < 0.2

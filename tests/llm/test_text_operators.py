@@ -151,6 +151,8 @@ def test_decontamination_against_brute_force(spark, block_items):
     kept = decontamination.decontaminate(docs, bench, block_items=block_items)
     assert kept.columns == docs.columns
     assert kept.count() == sum(not x[-1] for x in want)
+    unnamed = spark.createDataFrame([(None, "x" * 30_000)], "item_id long, text string")
+    assert {(r["doc_id"], r["n_items"], r["items_sha256"]) for r in decontamination.report(docs, unnamed).filter("contaminated").collect()} == {(6, 1, hashlib.sha256(b"").hexdigest())}
     assert decontamination.report(docs.limit(0), bench).count() == 0
     assert decontamination.report(docs, bench.limit(0)).filter("contaminated").count() == 0
 
@@ -230,6 +232,9 @@ def test_sharding(spark):
     texts = {i: t or "" for i, t in rows}
     assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in got)
     assert sharding.shard(frame(spark, rows).limit(0)).count() == 0
+    named = frame(spark, rows).withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    by_name = sharding.shard(named).withColumn("again", sharding.jump_shard(F.xxhash64("doc_id"), 8)).collect()
+    assert len(by_name) == len(rows) and all(r["shard"] == r["again"] for r in by_name if r["doc_id"]) and len({r["shard"] for r in by_name}) == 8
     plan = sharding.shard(frame(spark, rows))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 

@@ -57,15 +57,16 @@ class Patterns:
 
 
 def compile_patterns(items: list[tuple[object, str | None]], window: int) -> list[Patterns]:
-    """Tables for all windows of the items, one set for each pattern length."""
+    """Tables for all windows of the items, one set for each pattern length; a null item id counts as an empty one."""
     by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(dict)
     for item, text in items:
         w = words((text or "").encode())
         m = min(window, len(w))
         for i in range(len(w) - m + 1 if w else 0):
             own = by_length[m].setdefault(tuple(w[i : i + m]), [])
-            if not own or own[-1] != str(item):
-                own.append(str(item))
+            name = "" if item is None else str(item)
+            if not own or own[-1] != name:
+                own.append(name)
     return [Patterns(m, p) for m, p in sorted(by_length.items())]
 
 
@@ -87,6 +88,13 @@ def hit_words(text: list[bytes], tables: list[Patterns]) -> tuple[list[tuple[int
     return merged, found
 
 
+def _blocks(items: DataFrame, block_items: int, block_bytes: int = 16 << 20) -> list[DataFrame]:
+    """The items (i, t) in blocks of at most about ``block_items`` rows and ``block_bytes`` of text, by hash."""
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
+    blocks = max(1, -(-size["n"] // block_items), -(-(size["b"] or 0) // block_bytes))
+    return [items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
 _HITS = "doc_id long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
 _HITS_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))]
@@ -96,22 +104,22 @@ _HITS_ARROW = pa.schema(
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
     """Per document: its words, merged word ranges that a benchmark window covers, and the items found.
 
-    The items go to the executors in blocks of at most ``block_items`` rows, each
+    The items go to the executors in blocks (``_blocks``), each
     block with all documents once, so that no broadcast grows with the benchmark;
     with one block there is no shuffle. A document or item that is null or has no
-    word has no window; repeated rows stay repeated rows in one block.
+    word has no window; an item whose id is null is listed under an empty id;
+    repeated rows each get a row; an empty benchmark hits nothing; other columns are not read.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t"))
-    n = items.count()
-    blocks = max(1, -(-n // block_items))
+    shares = _blocks(items, block_items)
+    blocks = len(shares)
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     if blocks > 1:
         source = source.withColumn("_row", F.monotonically_increasing_id())
         source = common.cut(source)
     parts = []
-    for k in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+    for own in shares:
         tables = spark.sparkContext.broadcast(compile_patterns([(r["i"], r["t"]) for r in own.toLocalIterator()], window))
 
         def search(batch: pa.RecordBatch, tables=tables) -> Iterator[pa.RecordBatch]:
@@ -156,14 +164,13 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
     """The documents that hold no benchmark window, with all their columns and no shuffle.
 
-    Each block of items is one filter; the blocks follow one another on what is left.
+    Each block of items is one filter; the blocks follow one another on what is
+    left. Documents without text stay, repeated rows stay repeated, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t"))
-    blocks = max(1, -(-items.count() // block_items))
     at = docs.columns.index(text)
-    for k in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+    for own in _blocks(items, block_items):
         tables = spark.sparkContext.broadcast(compile_patterns([(r["i"], r["t"]) for r in own.toLocalIterator()], window))
 
         def clean(batch: pa.RecordBatch, tables=tables) -> Iterator[pa.RecordBatch]:

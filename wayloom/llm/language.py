@@ -33,6 +33,19 @@ def ngrams(text: str, orders: tuple[int, ...], buckets: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def tf_idf(text: str, orders: tuple[int, ...], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that the text's n-grams fall in and their weights, of length 1 together."""
+    own = ngrams(text, orders, len(idf))
+    if 4 * len(own) < len(idf):
+        at, n = np.unique(own, return_counts=True)
+    else:
+        n = np.bincount(own, minlength=len(idf))
+        at = np.flatnonzero(n)
+        n = n[at]
+    v = n * idf[at]
+    return at, v / (np.sqrt(v @ v) or 1.0)
+
+
 @dataclass
 class Model:
     classes: list[str]
@@ -43,9 +56,8 @@ class Model:
     orders: tuple[int, ...]
 
     def logits(self, text: str) -> np.ndarray:
-        x = np.bincount(ngrams(text, self.orders, len(self.idf)), minlength=len(self.idf)) * self.idf
-        norm = float(np.sqrt(x @ x))
-        return (x @ self.weights) / norm + self.bias if norm else self.bias.copy()
+        at, v = tf_idf(text, self.orders, self.idf)
+        return v @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.classes or not any(map(str.isalpha, text)):
@@ -78,15 +90,15 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, buckets
     return weights(np.arange(buckets + 1))
 
 
-def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The divisor of the logits that gives held-back rows the highest likelihood."""
+def temperature(logits: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The divisor of the logits that gives held-back rows the highest (weighted) likelihood."""
     if not len(y):
         return 1.0
 
     def loss(log_t: float) -> float:
         s = logits / np.exp(log_t)
         s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
+        return float(np.average(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y], weights=weight))
 
     low, high = np.log(0.05), np.log(20.0)
     for _ in range(60):
@@ -96,24 +108,26 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(
-    docs: DataFrame, train: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 3000,
-    orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 15, max_classes: int = 200, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3,
+    docs: DataFrame, train: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 750,
+    orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 15, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3,
 ) -> Model:
     """Learn from the rows that ``train`` (over the id column) admits and whose language is not null.
 
-    Document frequencies for the inverse weights count every such row. Weights
-    and temperature come from a bounded sample: ``sample`` rows in hash order of
-    their ids, a fifth of which calibrates. The ``max_classes`` most frequent
-    languages are classes. With no row to learn from, every text is undetermined.
+    Document frequencies for the inverse weights count every such row, and every
+    language among them is a class. Weights and temperature come from a bounded
+    sample: of each language at most ``sample`` documents, in hash order of their
+    ids, a fifth of which calibrates. The sample is even where the corpus is not; the
+    bias gets the difference of the logarithms of both shares, and the held-back rows
+    weigh accordingly. An id in several rows gives one. With no row to learn
+    from, every text is undetermined.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     if train is not None:
         rows = rows.filter(train)
     rows = rows.filter("lang is not null")
-    ranked = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_classes).collect()
-    classes = sorted(r["lang"] for r in ranked)
-    total = sum(r["n"] for r in ranked)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes, total = sorted(counts), sum(counts.values())
     if not classes:
         return Model([], np.ones(buckets), np.zeros((buckets, 0)), np.zeros(0), 1.0, orders)
 
@@ -121,7 +135,11 @@ def fit(
         df = np.zeros(buckets, np.int64)
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                df += np.bincount(ngrams(t or "", orders, buckets), minlength=buckets) > 0
+                own = ngrams(t or "", orders, buckets)
+                if 4 * len(own) < buckets:
+                    df[np.unique(own)] += 1
+                else:
+                    df += np.bincount(own, minlength=buckets) > 0
         at = np.flatnonzero(df)
         yield common.batch_of({"bucket": at.astype(np.int32), "df": df[at]})
 
@@ -135,17 +153,18 @@ def fit(
         own_idf, index = shared.value
         out = []
         for key, t, c in zip(*(batch.column(k).to_pylist() for k in ("id", "text", "lang"))):
-            x = np.bincount(ngrams(t or "", orders, buckets), minlength=buckets)
-            at = np.flatnonzero(x)
-            v = x[at] * own_idf[at]
-            v = v / (np.sqrt(v @ v) or 1.0)
+            at, v = tf_idf(t or "", orders, own_idf)
             out.append((key, at.astype(np.int32).tobytes(), v.astype(np.float32).tobytes(), index[c]))
         ids, a, v, y = zip(*out) if out else ((), (), (), ())
         yield common.batch_of({"id": list(ids), "at": list(a), "v": list(v), "y": list(y)}, {"id": pa.int64(), "at": pa.binary(), "v": pa.binary(), "y": pa.int32()})
 
-    keep = rows.filter(F.col("lang").isin(classes) & F.col("id").isNotNull()).select("id")
-    chosen = keep.orderBy(F.xxhash64(F.lit("lang"), "id"), "id").limit(sample)
-    picked = rows.join(F.broadcast(chosen.distinct()), "id", "left_semi").filter(F.col("lang").isin(classes))
+    # a threshold on the hash keeps a few more than wanted of each language, so that the ranking sees few rows
+    spot = F.xxhash64(F.lit("lang"), "id")
+    share = F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, 2.0 * sample / n)))[F.col("lang")]
+    near = rows.filter(F.col("id").isNotNull() & (F.pmod(spot, F.lit(1 << 40)) < share * F.lit(1 << 40))).select("lang", "id").distinct()
+    chosen = near.withColumn("h", spot).selectExpr("lang", "id", "row_number() over (partition by lang order by h, id) as r").filter(F.col("r") <= sample)
+    chosen = chosen.groupBy("id").agg(F.min("lang").alias("lang"))
+    picked = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
     got = common.map_arrow(picked, features, "id long, at binary, v binary, y int")
 
     def train_one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -153,8 +172,12 @@ def fit(
         data = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32).astype(float), int(y)) for a, v, y in zip(frame["at"], frame["v"], frame["y"])]
         back = len(data) // 5
         w = ftrl(data[back:] or data, len(classes), buckets, alpha, beta, l1, l2, epochs)
+        seen = np.bincount([y for *_, y in data], minlength=len(classes)) / len(data)
+        true = np.array([counts[c] for c in classes]) / total
+        w[-1] += np.log(true / np.maximum(seen, 1e-9)).clip(-10, 10)
         logits = np.array([v @ w[a] + w[-1] for a, v, _ in data[:back]])
-        t = temperature(logits, np.array([y for *_, y in data[:back]], int)) if back else 1.0
+        y = np.array([y for *_, y in data[:back]], int)
+        t = temperature(logits, y, (true / np.maximum(seen, 1e-9))[y]) if back else 1.0
         return pd.DataFrame({"w": [w.astype(np.float64).tobytes()], "t": [t]})
 
     made = got.groupBy(F.lit(1).alias("g")).applyInPandas(train_one, "w binary, t double").collect()
@@ -181,7 +204,10 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The documents whose language is determined with ``min_score`` or more, with all their columns and no shuffle."""
+    """The documents whose language is determined with ``min_score`` or more, with all their columns and no shuffle.
+
+    Texts that are null or have no letter go; repeated rows stay repeated; an empty table gives an empty result.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -28,12 +29,20 @@ _CLOSING = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=[ \n]|\Z)")
 _BETWEEN = "<|endoftext|>"
 
 
+def splits_words(settings: dict) -> bool:
+    """Whether a tokenizer's settings lower-case texts, treat white space as a border and split runs of letters off."""
+    said = json.dumps(settings.get("normalizer") or {}) + json.dumps(settings.get("pre_tokenizer") or {})
+    return '"Lowercase"' in said and "\\\\p{L}" in said and '"Removed"' in said
+
+
 class Encoder:
     """Ids of whole texts by a lower-case tokenizer to which white space is nothing but a border.
 
     Texts are split at spaces, line breaks and before closing stops and commas,
-    A-Z taken as a-z, which leaves the ids as they are; each distinct part is then
-    encoded once and remembered, at most ``most`` parts at a time.
+    A-Z taken as a-z; each distinct part is then encoded once and remembered, at
+    most ``most`` parts at a time. That leaves the ids as they are for a
+    tokenizer whose file says that it lower-cases, drops white space and splits
+    letters from other signs; for any other, whole texts are encoded.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -42,6 +51,7 @@ class Encoder:
 
         self.tool, self.most = Tokenizer.from_file(path), most
         self.between = self.tool.token_to_id(_BETWEEN)
+        self.parted = splits_words(json.loads(self.tool.to_str())) and self.between is not None
         self.clear()
 
     def clear(self) -> None:
@@ -84,6 +94,8 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of ``text``, with the closing id."""
+        if not self.parted:
+            return np.array([*self.tool.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
         lower = text.lower() if text.isascii() else text.encode().lower().decode()
         parts = _CLOSING.sub(r" \1", lower).replace("\n", " ").split(" ")
         if len(self.index) > self.most:

@@ -86,7 +86,8 @@ def fit(
     of ``piece`` bytes spread over its text, and as many other documents, scored
     whole on the executors, for the calibration; the classes are weighted by
     their number of labels. ``train`` (over the label's id column) says which
-    labels may be learned from. Rows without label are left out. With no label or one class the score
+    labels may be learned from. Rows without label are left out; an id in several
+    rows gives the smallest label and text. With no label or one class the score
     is that class's share, softened.
     """
     spark = docs.sparkSession
@@ -108,7 +109,8 @@ def fit(
     rows = chosen.withColumn("use", F.pmod(F.xxhash64(F.lit("use"), "id"), F.lit(2)))
     picked = {r["id"]: (r["y"], r["use"]) for r in rows.collect()}
     wanted = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    wanted = common.cut(wanted.join(F.broadcast(rows), "id", "left_semi"))
+    # an id in several rows gives one text, so that the sample stays bounded
+    wanted = common.cut(wanted.join(F.broadcast(rows), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     picks = spark.sparkContext.broadcast(picked)
 
     def sample(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -162,7 +164,10 @@ def classify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The documents scored ``threshold`` or higher, with all their columns and no shuffle."""
+    """The documents scored ``threshold`` or higher, with all their columns and no shuffle.
+
+    Null and empty texts get the score of no difference; repeated rows stay repeated; an empty table gives an empty result.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -43,24 +44,28 @@ def jump_shard(key: Column, shards: int) -> Column:
     return end.cast("int")
 
 
-def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, rows_per_bucket: int = 50_000) -> DataFrame:
+def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, rows_per_bucket: int | None = None) -> DataFrame:
     """Put every row of ``df`` into a shard by its ``key`` and number the rows of each shard.
 
     Returns the key, ``size`` (UTF-8 bytes of the text plus 1), ``text_crc32``,
     ``shard``, ``slot`` (gapless from 0 in the shard) and ``grown_shard`` (the
     shard if there were one more). Key and number of shards alone decide; rows
     that move when a shard is appended all move into it. A null text has size 1
-    and the checksum of the empty text; a null key counts as 0. Repeated rows
+    and the checksum of the empty text; a null key counts as 0; keys that are no
+    whole numbers of at most 64 bits count by their hash. Repeated rows
     keep a slot each; an empty table gives an empty result. Other columns of
     ``df`` are not read.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    own = F.col(f"`{key}`")
+    if not isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        own = F.when(own.isNotNull(), F.xxhash64(own))
     rows = df.select(
         F.col(f"`{key}`").alias("doc_id"),
         (F.octet_length(body).cast("long") + F.lit(1).cast("long")).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        jump_shard(F.col(f"`{key}`"), shards).alias("shard"),
-        jump_shard(F.col(f"`{key}`"), shards + 1).alias("grown_shard"),
+        jump_shard(own, shards).alias("shard"),
+        jump_shard(own, shards + 1).alias("grown_shard"),
     )
     out = common.gapless(rows, "shard", ["doc_id", "size", "text_crc32"], ["doc_id"], rows_per_bucket)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
