@@ -47,6 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same by a Parquet table, for small tables of a loop: the next plan knows nothing of how they came about.
+
+    A checkpoint hands its plan's constraints on, which grow from round to round.
+    """
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows and about ``most`` bytes.
 

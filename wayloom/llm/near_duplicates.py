@@ -84,27 +84,30 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, bands: int,
 def connected(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node it is connected to) for the nodes of ``edges`` (a, b).
 
-    Each round points every node to its smallest neighbour and contracts the
-    edges along these pointers; at least every second node that still has an
-    edge goes, so the rounds are few and ever smaller. The pointers of the
-    rounds are put together at the end.
+    Each round points every node to its smallest neighbour, follows the pointers
+    three times over, which goes eight nodes along a chain, and contracts the edges along
+    them; the rounds are few and ever smaller. The pointers of the rounds are put
+    together at the end.
     """
     ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    left = common.cut(edges.select(*ordered(F.col("a"), F.col("b"))).filter("a <> b").distinct())
+    left = common.stored(edges.select(*ordered(F.col("a"), F.col("b"))).filter("a <> b").distinct())
     rounds = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
+        up = common.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
+        for _ in range(3):
+            up = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up"))
+        up = common.stored(up)
         rounds.append(up)
         ends = left.join(up.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
-        left = common.cut(ends.select(*ordered(F.col("ua"), F.col("ub"))).filter("a <> b").distinct())
+        left = common.stored(ends.select(*ordered(F.col("ua"), F.col("ub"))).filter("a <> b").distinct())
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = rounds[-1].select("node", F.col("up").alias("root"))
     for up in reversed(rounds[:-1]):
         after = roots.select(F.col("node").alias("up"), F.col("root"))
         roots = up.join(after, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
-    return common.cut(roots)
+    return common.stored(roots)
 
 
 def links(sets: list[np.ndarray], asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -250,7 +253,7 @@ def texts_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str, width:
 
 def _grouped(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85,
-    bands: int = 36, rows: int = 7, unit_docs: int = 128, unit_shingles: int = 1_000_000, pivots: int = 2,
+    bands: int = 36, rows: int = 7, unit_docs: int = 1000, unit_shingles: int = 1_500_000, pivots: int = 2,
 ) -> DataFrame:
     """id, n, key of every row, and first_id, first_key: the smallest id of its component and the set of a row with it.
 
@@ -266,18 +269,25 @@ def _grouped(
     least = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "node"), F.col("node").alias("node")))["node"]
     buckets = keyed.groupBy("band").agg(F.array_distinct(F.array(*map(least, range(pivots)))).alias("heads"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared = common.cut(keyed.join(buckets, "band"))
-    star = common.cut(shared.select("node", F.explode("heads").alias("head")).filter("node <> head").distinct())
+    star = common.stored(shared.select("node", F.explode("heads").alias("head")).filter("node <> head").distinct())
     members = star.select("node").union(star.select("head")).distinct().join(classes.select("node", "id", "key", "n"), "node")
     bodies = common.cut(texts_of(docs, members, doc_id, text, width).select(F.col("node").alias("id"), "text", "n"))
-    chunks = star.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / unit_docs).cast("int").alias("chunks"))
-    asked = star.join(chunks, "head").join(bodies.withColumnRenamed("id", "node"), "node")
-    asked = asked.select("head", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("is_head"), F.col("node").alias("id"), "text")
-    heads = chunks.join(bodies, chunks["head"] == bodies["id"]).select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("is_head"), "id", "text")
-    verified = common.cut(check_heads(asked.unionByName(heads), width, percent))
+    verified = common.stored(check_heads(_streams(star, bodies, unit_docs), width, percent))
     roots = connected(verified)
-    open_ = common.cut(_unresolved(shared, roots, classes, percent))
+    open_ = common.stored(_unresolved(shared.join(bodies.select(F.col("id").alias("node"), "n"), "node"), roots))
+    for more in range(1, 3):
+        # members of the largest component that were no heads so far, and twice as many each time
+        if open_.isEmpty():
+            break
+        few = range(pivots * 2**more, pivots * 2 ** (more + 1))
+        heads = open_.filter("root = main").groupBy("main").agg(F.array_distinct(F.array(*map(least, few))).alias("heads"))
+        asked = open_.filter("root <> main").select("node", "main").distinct().join(heads, "main")
+        star = common.stored(asked.select("node", F.explode("heads").alias("head")).filter("node <> head").distinct())
+        verified = verified.unionByName(common.stored(check_heads(_streams(star, bodies, unit_docs), width, percent)))
+        roots = connected(verified)
+        open_ = common.stored(_unresolved(open_.drop("root", "main", "low", "high"), roots))
     if not open_.isEmpty():
-        verified = verified.unionByName(common.cut(check_units(_units(open_, bodies, unit_docs, unit_shingles), width, percent)))
+        verified = verified.unionByName(common.stored(check_units(_units(open_, bodies, percent, unit_docs, unit_shingles), width, percent)))
         roots = connected(verified)
     linked = classes.select("node", "id", "key", "copies").join(roots, "node", "left")
     first = linked.filter("root is not null").groupBy("root").agg(F.min(F.struct("id", "key")).alias("f"))
@@ -286,42 +296,60 @@ def _grouped(
     return sets.join(told, "key", "left")
 
 
-def _unresolved(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """band, node, n, asks: of each bucket in which links may still be missing, the classes to compare.
+def _streams(star: DataFrame, bodies: DataFrame, unit_docs: int) -> DataFrame:
+    """Rows for ``check_heads``: each pair's member under its head, a head of many members in several chunks."""
+    chunks = common.stored(star.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / min(unit_docs, 128)).cast("int").alias("chunks")))
+    asked = star.join(chunks, "head").select("head", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("is_head"), F.col("node").alias("id"))
+    heads = chunks.select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("is_head"), F.col("head").alias("id"))
+    return common.stored(asked.unionByName(heads)).join(bodies.select("id", "text"), "id")
+
+
+def _unresolved(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``shared`` (band, node, n, m, heads) whose bucket may still miss links, with root, main, low and high.
 
     A bucket is settled if its classes are connected already, or if all pairs
-    were compared, as at most one class is no head. In the others, the classes
-    outside the bucket's largest component ask, and all with a set size that can
-    be linked to one of theirs hear. Buckets of the same classes count once.
+    were compared, as at most one class is no head. In the others, ``main`` is the
+    largest component in it, ``low`` to ``high`` are the set sizes outside. Buckets of the same classes count once.
     """
-    at = shared.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), "m", F.size("heads").alias("h"))
-    left = at.groupBy("band", "m", "h").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same")).filter("r <> s and h < m - 1")
-    once = left.groupBy("m", "same").agg(F.min("band").alias("band")).select("band")
-    rows = at.join(once, "band", "left_semi").join(classes.select("node", "n"), "node")
-    main = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("main"))
-    rows = rows.join(main, "band").withColumn("asks", F.col("root") != F.col("main"))
-    sizes = rows.filter("asks").groupBy("band").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    near = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("n") * percent <= F.col("high") * 100)
-    return rows.join(sizes, "band").filter(F.col("asks") | near).select("band", "node", "n", "asks")
-
-
-def _units(open_: DataFrame, bodies: DataFrame, unit_docs: int, unit_shingles: int) -> DataFrame:
-    """unit, id, asks, text: every asking class of a bucket meets every class of it in some bounded unit.
-
-    Those that ask are dealt into rows, all classes into columns of a grid; a
-    unit is a row and a column together.
+    at = common.stored(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    groups = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("m").alias("m"), F.first(F.size("heads")).alias("h"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
+    groups = common.stored(groups)
+    left = groups.groupBy("band", "m", "h").agg(F.count(F.lit(1)).alias("parts"), F.sum("same").alias("same"), F.max_by("root", F.struct("c", -F.col("root"))).alias("main")).filter("parts > 1 and h < m - 1")
+    once = left.groupBy("m", "same").agg(F.min(F.struct("band", "main")).alias("b")).select("b.band", "b.main")
+    facts = groups.join(once, "band").filter("root <> main").groupBy("band", "main").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return at.join(facts, "band")
+
+
+def _units(open_: DataFrame, bodies: DataFrame, percent: int, unit_docs: int, unit_shingles: int) -> DataFrame:
+    """unit, id, asks, text: every class outside a bucket's main component meets every class of it in some bounded unit.
+
+    Buckets with the same main component go together where that moves fewer rows
+    than one by one: in a family of near copies, most buckets hold the same
+    classes. Those that ask are dealt into the rows of a grid, all classes of a size that can
+    be linked to one of theirs into its columns; a unit is a row and a column together.
     """
     few, most = max(1, unit_docs // 4), max(1, unit_docs - unit_docs // 4)
-    parts = lambda c, size, share: F.greatest(F.ceil(F.count(F.when(c, 1)) / size), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / (unit_shingles * share)), F.lit(1)).cast("int")
-    grid = open_.groupBy("band").agg(parts(F.col("asks"), few, 0.25).alias("rows"), parts(F.lit(True), most, 0.75).alias("columns"))
-    told = open_.join(grid, "band")
+    each = open_.select("band", "main", "node", "n", "low", "high", (F.col("root") != F.col("main")).alias("asks"))
+    near = lambda low, high: F.col("asks") | ((F.col("n") * 100 >= low * percent) & (F.col("n") * percent <= high * 100))
+    apart = each.filter(near(F.col("low"), F.col("high"))).select("main", F.concat(F.lit("b"), F.col("band").cast("string")).alias("group"), "node", "n", "asks")
+    span = each.groupBy("main").agg(F.min("low").alias("g_low"), F.max("high").alias("g_high"))
+    nodes = each.groupBy("main", "node").agg(F.first("n").alias("n"), F.max("asks").alias("asks")).join(span, "main")
+    together = nodes.filter(near(F.col("g_low"), F.col("g_high"))).select("main", F.concat(F.lit("m"), F.col("main").cast("string")).alias("group"), "node", "n", "asks")
+    rows = common.stored(apart.unionByName(together))
+    side = lambda c, size, share: F.greatest(F.least(F.lit(8), F.ceil(F.count(F.when(c, 1)) / 32)), F.ceil(F.count(F.when(c, 1)) / size), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / (unit_shingles * share)), F.lit(1)).cast("int")
+    grid = rows.groupBy("main", "group").agg(F.count(F.lit(1)).alias("all"), F.count_if("asks").alias("ask"), side(F.col("asks"), few, 0.25).alias("rows"), side(F.lit(True), most, 0.75).alias("columns"))
+    moved = grid.withColumn("moved", F.col("all") * F.col("rows") + F.col("ask") * F.col("columns"))
+    kind = F.substring("group", 1, 1)
+    better = moved.groupBy("main").agg(F.sum(F.when(kind == "b", F.col("moved"))).alias("b"), F.sum(F.when(kind == "m", F.col("moved"))).alias("m"))
+    chosen = common.stored(moved.join(better, "main").filter((kind == "m") == (F.col("m") < F.col("b"))).select("group", "rows", "columns"))
+    told = common.stored(rows.join(chosen, "group"))
     spot = lambda k, n: F.pmod(F.xxhash64(F.lit(k), "node"), F.col(n)).cast("int")
     asks = told.filter("asks").withColumn("i", spot("row", "rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
     hears = told.withColumn("j", spot("column", "columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
-    placed = asks.select("band", "i", "j", "node", F.lit(True).alias("asks")).unionByName(hears.select("band", "i", "j", "node", F.lit(False).alias("asks")))
+    placed = asks.select("group", "i", "j", "node", F.lit(True).alias("asks")).unionByName(hears.select("group", "i", "j", "node", F.lit(False).alias("asks")))
     # a class that asks in a unit need not be there twice
-    once = placed.groupBy("band", "i", "j", "node").agg(F.max("asks").alias("asks"))
-    return once.join(bodies.withColumnRenamed("id", "node"), "node").select(F.concat_ws("/", "band", "i", "j").alias("unit"), F.col("node").alias("id"), "asks", "text")
+    once = placed.groupBy("group", "i", "j", "node").agg(F.max("asks").alias("asks"))
+    return once.join(bodies.select(F.col("id").alias("node"), "text"), "node").select(F.concat_ws("/", "group", "i", "j").alias("unit"), F.col("node").alias("id"), "asks", "text")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -337,8 +365,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     3. Every class is compared with the ``pivots`` heads of each bucket it is in,
        on the full sets, in streams that hold one head.
     4. Where that leaves a bucket in several components, the classes outside its
-       largest one are compared with all classes of the bucket, in units of at most about
-       ``unit_docs`` classes and ``unit_shingles`` shingles. Buckets are never
+       largest one are compared with more heads out of that, in two rounds, and,
+       if they are still outside, with all classes of the bucket, in units of at
+       most about ``unit_docs`` classes and ``unit_shingles`` shingles. Buckets are never
        merged, so chains of unlike families cost nothing. No pairs are written
        out and none of a bucket is left out.
 
