@@ -243,8 +243,8 @@ def test_files_and_mixed_log(spark, tmp_path):
     out = graph.cut(plan.answer_events(n, e, files.read_events(spark, f"{tmp_path}/e.json"), 2))
     got = answers(out, "id")
     assert got[1]["minimum"] == 30 and not got[3]["possible"] and got[5]["minimum"] == 40 and got[2]["removed"] and got[4]["done"]
-    assert got[6]["result"] == [2] and [p["length"] for p in got[7]["paths"]] == [30.0] and [p["path"] for p in got[13]["paths"]] == [[0, 1, 2, 3]]
-    assert [d["approx_shortest_distance"] for d in got[8]["distances"]] == [30.0, -1.0]
+    assert got[6]["result"] == [2] and [p["length"] for p in got[7]["paths"]] == [40.0] and [p["path"] for p in got[13]["paths"]] == [[0, 1, 2, 3]]
+    assert [d["approx_shortest_distance"] for d in got[8]["distances"]] == [40.0, -1.0]
     assert all(got[i]["status"] == "failed" for i in (9, 10, 11)) and got[11]["error"] == "missing type"
     assert got[12]["assignments"][0]["route"] == [0, 1, 2] and got[12]["metrics"]["total_delivery_time_s"] == 2.0
     files.write_results(out, f"{tmp_path}/lines", "json")
@@ -335,3 +335,27 @@ def test_components_and_reach_over_all_road_types(spark, monkeypatch):
     sizes = {c: list(want.values()).count(c) for c in want.values()}
     assert {r["component_id"]: r["n_nodes"] for r in roads.QUERIES["component_sizes_all"](spark, "").collect()} == sizes and max(sizes.values()) > 1
     assert {r["pair_id"]: r["reachable"] for r in roads.QUERIES["reachable_pairs_all"](spark, "").collect()} == {100 * a + b: (a, b) in reach for a in range(15) for b in range(15)}
+
+
+def test_all_requests_of_a_log_see_the_graph_as_of_their_place(spark):
+    """On the line 0-1-2, an update between two rounds of the same requests."""
+    nodes = spark.createDataFrame([(i, 19.0 + i / 1000, 72.0, []) for i in range(3)], "id long, lat double, lon double, pois array<string>")
+    edges = spark.createDataFrame([(1, 0, 1, 10.0, False), (2, 1, 2, 10.0, False)], "id long, u long, v long, length double, oneway boolean")
+    order, fl = [(1, 1, 2)], (0, 1)
+
+    def ask(seq):
+        return [
+            (seq, seq, "k_shortest_paths", 0, 2, 2, None, None, None, None, None, None, None), (seq + 1, seq + 1, "k_shortest_paths_heuristic", 0, 2, 2, 50.0, None, None, None, None, None, None),
+            (seq + 2, seq + 2, "approx_shortest_path", None, None, None, None, [(0, 2)], 5.0, None, None, None, None), (seq + 3, seq + 3, None, None, None, None, None, None, None, order, fl, None, None),
+        ]
+
+    log = ask(1) + [(10, 10, "modify_edge", None, None, None, None, None, None, None, None, 2, (30.0, None, None, None))] + ask(11) + [(20, 20, "remove_edge", None, None, None, None, None, None, None, None, 2, None)] + ask(21)
+    schema = "seq long, id long, type string, source long, target long, k int, overlap_threshold double, queries array<struct<source:long,target:long>>, acceptable_error_pct double, orders array<struct<order_id:long,pickup:long,dropoff:long>>, fleet struct<depot_node:long,num_drivers:int>, edge_id long, patch struct<length:double,average_time:double,speed_profile:array<double>,road_type:string>"
+    got = {r["seq"]: r for r in plan.answer_events(nodes, edges, spark.createDataFrame(log, schema)).collect()}
+    for seq, length in ((1, 20.0), (11, 40.0)):
+        assert [(list(p["path"]), p["length"]) for p in got[seq]["paths"]] == [([0, 1, 2], length)] == [(list(p["path"]), p["length"]) for p in got[seq + 1]["paths"]]
+        assert [d["approx_shortest_distance"] for d in got[seq + 2]["distances"]] == [length]
+        assert got[seq + 3]["assignments"][0]["route"] == [0, 1, 2] and abs(got[seq + 3]["metrics"]["total_delivery_time_s"] - length / 13.8) < 1e-9
+    assert got[21]["paths"] == [] == got[22]["paths"] and got[23]["distances"][0]["approx_shortest_distance"] == -1.0
+    assert got[24]["assignments"][0]["order_ids"] == [] and got[24]["metrics"]["total_delivery_time_s"] == 0.0
+    assert got[10]["done"] and got[20]["removed"]

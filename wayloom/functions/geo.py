@@ -48,12 +48,15 @@ def profile_speeds(profile: Column) -> Column:
     return F.transform(profile, lambda v: F.when(v <= LEAST_SPEED, F.lit(LEAST_SPEED)).otherwise(v))
 
 
-def profile_cumsum(speeds: Column, slot_width: float = SLOT_WIDTH) -> Column:
-    """Metres covered before each slot begins, from clock 0."""
-    start = F.array(F.lit(0.0))
-    reached = lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v * F.lit(slot_width)))
-    whole = F.aggregate(speeds, start, reached)
-    return F.slice(whole, 1, F.size(speeds))
+def profile_cumsum(speeds: Column, slot_width: float = SLOT_WIDTH, block: int = 8) -> Column:
+    """Metres covered before each slot begins, from clock 0; sums of blocks of slots first, then within each."""
+    add = lambda a, v: a + v * F.lit(slot_width)
+    n = F.size(speeds)
+    spots = F.sequence(F.lit(0), F.greatest(F.ceil(n / F.lit(block)).cast("int") - 1, F.lit(0)))
+    blocks = F.transform(spots, lambda b: F.aggregate(F.slice(speeds, b * block + 1, F.lit(block)), F.lit(0.0), add))
+    starts = F.aggregate(blocks, F.array(F.lit(0.0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
+    inside = lambda s, b: F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda j: F.aggregate(F.slice(speeds, b * block + 1, j), s, add))
+    return F.slice(F.flatten(F.transform(starts, inside)), F.lit(1), n)
 
 
 def arrival_time(t: Column, length: Column, speeds: Column, cum: Column, slot_width: float = SLOT_WIDTH) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a side that is broadcast; beyond it joins shuffle.
@@ -15,9 +16,11 @@ EDGE_DEFAULTS = {"id": "-1L", "u": "-1L", "v": "-1L", "length": "0.0D", "oneway"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in ``spark.checkpoint.dir``; a folder of this machine stands in where that is unset."""
+    """A new path in ``spark.checkpoint.dir``; a temporary folder only where that is unset and all of Spark is this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-wayloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -39,11 +42,6 @@ def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, to be broadcast if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def normalize_edges(edges: DataFrame) -> DataFrame:
     """Edges with every column present and defaults for nulls; either name of the mean time is read."""
     have = set(edges.columns)
@@ -96,8 +94,9 @@ def collapse(adj: DataFrame, weight: str = "length") -> DataFrame:
 
 
 def first_seen(adj: DataFrame) -> DataFrame:
-    """(src, dst) to the first edge by id."""
-    return adj.groupBy("src", "dst").agg(F.min_by("edge_id", "edge_id").alias("edge_id"))
+    """(src, dst) to the edge that came first in the input: by ``pos`` if the edges carry it, then by id."""
+    order = F.struct("pos", "edge_id") if "pos" in adj.columns else F.col("edge_id")
+    return adj.groupBy("src", "dst").agg(F.min_by("edge_id", order).alias("edge_id"))
 
 
 def check_endpoints(searches: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -118,7 +117,3 @@ def check_endpoints(searches: DataFrame, nodes: DataFrame) -> DataFrame:
 def degree(adj: DataFrame) -> DataFrame:
     """src, out_degree."""
     return adj.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
-
-
-def unreached(column: Column) -> Column:
-    return F.when(column.isNull(), F.lit(-1.0)).otherwise(column)

@@ -61,16 +61,20 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
         need += ["valid_from", "valid_to"]
     have = set(need)
     edges = adj.select(*dict.fromkeys(need)).filter("src <> dst").persist()
+    held = [edges]
     near = edges.count() <= graph.BROADCAST_ROWS // (16 if timed else 1)
     limits = [c for c in CONSTRAINTS if c in columns]
     asked = searches.select("search_id", *limits, *[c for c in ("target", "k", "group") if c in columns]).persist()
+    held.append(asked)
     path = [F.array("source").alias("path")] if with_path else []
     kind = ["cost", "path"] if with_path else ["cost"]
     done = graph.cut(searches.select("search_id", F.col("source").alias("node"), F.lit(float(depart)).alias("cost"), *path, F.lit(True).alias("new")))
     if near:
-        lists = F.broadcast(edges.groupBy("src").agg(F.collect_list(F.struct(*need)).alias("out")).withColumnRenamed("src", "at").persist())
+        held.append(edges.groupBy("src").agg(F.collect_list(F.struct(*need)).alias("out")).withColumnRenamed("src", "at").persist())
+        lists = F.broadcast(held[-1])
     else:
         edges = edges.repartition("src").persist()
+        held.append(edges)
 
     def onward(cost: Column, edge: Callable[[str], Column]) -> Column:
         return geo.arrival_time(cost, edge("length"), edge("_v"), edge("_c"), slot_width) if timed else cost + edge(weight)
@@ -104,10 +108,12 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
         every = F.when(F.col("new") & F.col("out").isNotNull(), F.concat(F.array(stay), go)).otherwise(F.array(stay))
         return least(met.select("search_id", F.explode(every).alias("_m")).select("search_id", "_m.*"))
 
+    # a number given, or few bytes would be put into one task whatever work they mean
+    spread = max(int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions")), adj.sparkSession.sparkContext.defaultParallelism)
     while True:
         if near:
             # by search, so that no hop shuffles: a search has at most a label for each node of a small graph
-            after = bounded(done).repartition("search_id")
+            after = bounded(done).repartition(spread, "search_id")
             for _ in range(HOPS):
                 after = hop(after)
         else:
@@ -117,7 +123,8 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
             after = least(done.withColumn("new", F.lit(False)).unionByName(tried))
         done = graph.cut(after, done)
         if done.filter("new").isEmpty():
-            edges.unpersist()
+            for kept in held:
+                kept.unpersist()
             return done.drop("new")
 
 

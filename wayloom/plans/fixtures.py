@@ -123,8 +123,8 @@ class Tables:
         return self.stored("nodes").selectExpr("id", "lat", "lon", "CASE WHEN poi IS NULL THEN cast(array() AS array<string>) ELSE array(poi) END AS pois")
 
     def profiled(self) -> DataFrame:
-        """edges with a 96-slot speed profile and mean time."""
-        return self.stored("edges").selectExpr("*", f"transform(sequence(0L, 95L), s -> round({SPEED} * {FACTOR}, 4)) AS speed_profile", f"round(length / {SPEED}, 3) AS avg_time", "true AS active")
+        """edges with a 96-slot speed profile and mean time, spread over tasks by work rather than bytes."""
+        return self.stored("edges").repartition(self.spark.sparkContext.defaultParallelism, "id").selectExpr("*", f"transform(sequence(0L, 95L), s -> round({SPEED} * {FACTOR}, 4)) AS speed_profile", f"round(length / {SPEED}, 3) AS avg_time", "true AS active")
 
 
 def ctes(*names: str) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,10 +110,10 @@ def out_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(ctes("adj"), """
-SELECT src, dst, min(length) AS length, arg_min(edge_id, {'l': length, 'e': edge_id}) AS edge_id, min(edge_id) AS first_id FROM adj GROUP BY src, dst"""))
+SELECT src, dst, min(length) AS length, arg_min(edge_id, {'l': length, 'e': edge_id}) AS edge_id, arg_min(edge_id, {'p': (edge_id * 7919) % 1000003, 'e': edge_id}) AS first_id FROM adj GROUP BY src, dst"""))
 def edge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cheapest and first edge of each pair."""
-    adj = graph.adjacency(Tables(spark, sf_dir)["edges"])
+    """Cheapest edge of each pair, and the first in an input order that is not that of the ids."""
+    adj = graph.adjacency(Tables(spark, sf_dir)["edges"].withColumn("pos", F.expr("(id * 7919) % 1000003")))
     return graph.collapse(adj).join(graph.first_seen(adj).withColumnRenamed("edge_id", "first_id"), ["src", "dst"])
 
 
@@ -327,43 +328,77 @@ def reachable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.reachable(_sparse(t), t.stored("nodes"), t["approx_requests"].select("pair_id", "source", "target"))
 
 
-@query()
+_WHOLE = "sadj AS MATERIALIZED (SELECT DISTINCT src, dst FROM adj)"
+
+
+@query("WITH RECURSIVE " + ",\n".join(ctes("nodes", "adj") + [_WHOLE, _CLOSED]) + "\nSELECT x.a AS node, min(x.b) AS component_id FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a")
 def strong_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G7 over all road types; tests hold it against brute force."""
+    """G7 over all road types."""
     t = Tables(spark, sf_dir)
     return components.strongly_connected_components(graph.cut(graph.adjacency(t.stored("edges"))), t.stored("nodes"))
 
 
-@query()
+@query("WITH RECURSIVE " + ",\n".join(ctes("nodes", "adj") + [_WHOLE, _CLOSED]) + "\nSELECT component_id, count(*) AS n_nodes FROM (SELECT x.a, min(x.b) AS component_id FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a) GROUP BY component_id")
 def component_sizes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5 over all road types; tests hold it against brute force."""
+    """A5 over all road types."""
     return components.component_sizes(strong_components_all(spark, sf_dir))
 
 
-@query()
+@query("WITH RECURSIVE " + ",\n".join(ctes("nodes", "adj", "approx_requests") + [_WHOLE, _CLOSED]) + "\nSELECT p.pair_id, r.a IS NOT NULL AS reachable FROM approx_requests p LEFT JOIN reach r ON r.a = p.source AND r.b = p.target")
 def reachable_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G6 over all road types; tests hold it against brute force."""
+    """G6 over all road types."""
     t = Tables(spark, sf_dir)
     return components.reachable(graph.cut(graph.adjacency(t.stored("edges"))), t.stored("nodes"), t["approx_requests"].select("pair_id", "source", "target"))
 
 
-@query()
+def _farthest(n: int, rounds: int = ROUNDS) -> list[str]:
+    """CTEs ``p0`` ... of each landmark and ``near0`` ... of each node's least distance from those so far."""
+    out = ["p0 AS MATERIALIZED (SELECT src AS l FROM (SELECT src, count(*) AS c FROM adj GROUP BY src) ORDER BY c DESC, src LIMIT 1)"]
+    for k in range(n - 1):
+        last = f"l{k}_0"
+        out.append(f"{last} AS MATERIALIZED (SELECT l AS node, CAST(0 AS DOUBLE) AS d FROM p{k})")
+        for i in range(1, rounds + 1):
+            out.append(f"l{k}_{i} AS MATERIALIZED (SELECT node, min(d) AS d FROM (SELECT * FROM {last} UNION ALL SELECT a.dst, x.d + a.length FROM {last} x JOIN adj a ON a.src = x.node) GROUP BY node)")
+            last = f"l{k}_{i}"
+        both = f"SELECT * FROM {last}" + (f" UNION ALL SELECT * FROM near{k - 1}" if k else "")
+        out.append(f"near{k} AS MATERIALIZED (SELECT node, min(d) AS d FROM ({both}) GROUP BY node)")
+        out.append(f"p{k + 1} AS MATERIALIZED (SELECT node AS l FROM near{k} WHERE d > 0 ORDER BY d DESC, node LIMIT 1)")
+    return out
+
+
+@query(_with(ctes("adj") + _farthest(16), " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS pos, l AS landmark FROM p{k}" for k in range(16))))
 def landmark_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four landmarks; tests hold them against brute force."""
-    return landmarks.select_landmarks(graph.cut(graph.adjacency(Tables(spark, sf_dir).stored("edges"))), 4)
+    """Sixteen landmarks."""
+    _MARKS[sf_dir] = [tuple(r) for r in landmarks.select_landmarks(graph.cut(graph.adjacency(Tables(spark, sf_dir).stored("edges"))), 16).collect()]
+    return _marks(spark, sf_dir)
+
+
+#: The landmarks found for a folder, as several queries start from them.
+_MARKS: dict[str, list[tuple[int, int]]] = {}
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if sf_dir not in _MARKS:
+        landmark_choice(spark, sf_dir)
+    return spark.createDataFrame(_MARKS[sf_dir], "pos int, landmark long")
+
+
+def _renamed(parts: list[str], mark: str) -> list[str]:
+    """The CTEs of ``bellman_ford`` under other names, so that two searches fit one query."""
+    return [re.sub(r"\bd(\d+)\b", rf"{mark}\1", p) for p in parts]
 
 
 @query(_with(
-    ctes("nodes", "adj") + [f"searches AS MATERIALIZED (SELECT * FROM {_THREE})"]
-    + bellman_ford("searches", "adj"),
-    f"SELECT search_id, node, round(b.cost, 6) AS d_from FROM d{ROUNDS}"))
+    ctes("nodes", "adj") + [f"searches AS MATERIALIZED (SELECT * FROM {_THREE})", "radj AS MATERIALIZED (SELECT dst AS src, src AS dst, length FROM adj)"]
+    + bellman_ford("searches", "adj") + _renamed(bellman_ford("searches", "radj"), "r"),
+    f"SELECT coalesce(f.search_id, t.search_id) AS search_id, coalesce(f.node, t.node) AS node, round(f.b.cost, 6) AS d_from, round(t.b.cost, 6) AS d_to FROM d{ROUNDS} f FULL JOIN r{ROUNDS} t ON t.search_id = f.search_id AND t.node = f.node"))
 def landmark_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances from three given landmarks, unfolded from the table's arrays."""
+    """Distances from and to three given landmarks, unfolded from the table's arrays."""
     t = Tables(spark, sf_dir)
     marks = t["nodes"].filter("id IN (5, 70, 111)").selectExpr("CASE id WHEN 5 THEN 0 WHEN 70 THEN 1 ELSE 2 END AS pos", "id AS landmark")
     tables = landmarks.landmark_distances(graph.cut(graph.adjacency(t.stored("edges"))), marks)
-    flat = tables.select("node", F.posexplode("d_from").alias("pos", "d")).filter("d is not null")
-    return flat.select((F.col("pos") + 1).alias("search_id"), "node", F.round("d", 6).alias("d_from"))
+    flat = tables.select("node", F.posexplode(F.arrays_zip("d_from", "d_to")).alias("pos", "d")).filter("d.d_from is not null or d.d_to is not null")
+    return flat.select((F.col("pos") + 1).alias("search_id"), "node", F.round("d.d_from", 6).alias("d_from"), F.round("d.d_to", 6).alias("d_to"))
 
 
 @query(_with(
@@ -373,7 +408,7 @@ def approximate_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each estimate keeps its bound against the exact distance."""
     t = Tables(spark, sf_dir)
     adj, nodes, pairs = graph.cut(graph.adjacency(t.stored("edges"))), t.stored("nodes"), graph.cut(t["approx_requests"])
-    tables = graph.cut(landmarks.landmark_distances(adj, landmarks.select_landmarks(adj, 4)))
+    tables = graph.cut(landmarks.landmark_distances(adj, _marks(spark, sf_dir)))
     found = landmarks.approx_distances(adj, nodes, tables, pairs)
     exact = search.shortest_paths(nodes, adj, pairs.select(F.col("pair_id").alias("search_id"), "source", "target"))
     both = found.join(exact.select(F.col("search_id").alias("pair_id"), "cost"), "pair_id").join(pairs.select("pair_id", "acceptable_error_pct"), "pair_id")
@@ -381,6 +416,18 @@ def approximate_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("pair_id", (F.col("distance") >= 0).alias("found"), F.coalesce(within, F.lit(False)).alias("within"))
 
 
+@query(_with(
+    ctes("adj", "approx_requests") + ["searches AS MATERIALIZED (SELECT DISTINCT source AS search_id, source FROM approx_requests)"] + bellman_ford("searches", "adj"),
+    f"SELECT p.pair_id, round(coalesce(d.b.cost, -1.0), 3) AS distance FROM approx_requests p LEFT JOIN d{ROUNDS} d ON d.search_id = p.source AND d.node = p.target"))
+def estimates_without_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G10, G11 with no error allowed: an estimate stands only where both bounds meet, the others are searched."""
+    t = Tables(spark, sf_dir)
+    adj, nodes, pairs = graph.cut(graph.adjacency(t.stored("edges"))), t.stored("nodes"), graph.cut(t["approx_requests"])
+    tables = graph.cut(landmarks.landmark_distances(adj, _marks(spark, sf_dir)))
+    found = landmarks.approx_distances(adj, nodes, tables, pairs.withColumn("acceptable_error_pct", F.lit(0.0)))
+    return found.select("pair_id", F.round("distance", 3).alias("distance"))
+
+
 # --- several paths, fleets, ingest, mixed logs -------------------------------------------------------
 
 
