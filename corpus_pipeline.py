@@ -42,7 +42,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the trained stages nor the packing; tests hold run() against a brute-force version.
+#: SQL can express neither the trained stages nor the packing; tests hold each stage, run as run() does, against a plain version.
 ORACLE_SQL = None
 
 
