@@ -504,7 +504,38 @@ def travel_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("time", F.round("time", 6))
 
 
-@query()
+def _inserted(rounds: int = 5) -> list[str]:
+    """CTEs ``g0`` ... : the couriers' stops after so many insertions, and ``b1`` ... : the cheapest insertion of each round."""
+    t = lambda a, b: f"coalesce(m[concat({a}, '>', {b})], 1e9)"
+    s = lambda k: f"g.stops[{k}]"
+    to_p = f"{t(s('i'), 'o.p')} + CASE WHEN i < len(g.stops) THEN {t('o.p', s('i + 1'))} - {t(s('i'), s('i + 1'))} ELSE 0.0 END"
+    next_to = f"{t('o.p', 'o.d')} + CASE WHEN i < len(g.stops) THEN {t('o.d', s('i + 1'))} - {t('o.p', s('i + 1'))} ELSE 0.0 END"
+    later = f"{t(s('j'), 'o.d')} + CASE WHEN j < len(g.stops) THEN {t('o.d', s('j + 1'))} - {t(s('j'), s('j + 1'))} ELSE 0.0 END"
+    out = [
+        "pend AS MATERIALIZED (SELECT id, order_id AS o, pickup AS p, dropoff AS d FROM fleet_orders)",
+        "g0 AS MATERIALIZED (SELECT DISTINCT id, c, [depot_node] AS stops, CAST([] AS BIGINT[]) AS own FROM fleet_orders, range(0, 3) r(c) WHERE c < num_drivers)",
+    ]
+    for n in range(rounds):
+        left = "".join(f" AND NOT EXISTS (SELECT 1 FROM b{k} x WHERE x.id = o.id AND x.b.o = o.o)" for k in range(1, n + 1))
+        out.append(f"""b{n + 1} AS MATERIALIZED (SELECT id, min({{'added': added, 'o': o, 'c': c, 'i': i, 'j': j, 'p': p, 'd': d}}) AS b FROM (
+  SELECT g.id, o.o, g.c, i, j, o.p, o.d, ({to_p}) + CASE WHEN i = j THEN {next_to} ELSE {later} END AS added
+  FROM g{n} g JOIN maps USING (id) JOIN pend o ON o.id = g.id{left}, range(1, 12) ri(i), range(1, 12) rj(j) WHERE i <= j AND j <= len(g.stops)) WHERE added < 1e9 GROUP BY id)""")
+        with_p = "list_concat(g.stops[1:x.b.i], [x.b.p], g.stops[x.b.i + 1:])"
+        out.append(f"""g{n + 1} AS MATERIALIZED (SELECT id, c, CASE WHEN won THEN list_concat(w[1:j + 1], [d], w[j + 2:]) ELSE stops END AS stops, CASE WHEN won THEN list_append(own, o) ELSE own END AS own FROM (
+  SELECT g.id, g.c, g.stops, g.own, coalesce(x.b.c = g.c, false) AS won, {with_p} AS w, x.b.j AS j, x.b.d AS d, x.b.o AS o FROM g{n} g LEFT JOIN b{n + 1} x ON x.id = g.id))""")
+    return out
+
+
+@query(_with(
+    ctes("adj", "fleet_orders")
+    + ["stops AS MATERIALIZED (SELECT DISTINCT id, depot_node AS node FROM fleet_orders UNION SELECT id, pickup FROM fleet_orders UNION SELECT id, dropoff FROM fleet_orders)", "searches AS MATERIALIZED (SELECT DISTINCT node AS search_id, node AS source FROM stops)"]
+    + bellman_ford("searches", "adj", "a.avg_time")
+    + [f"times AS MATERIALIZED (SELECT s.id, s.node AS src, t.node AS dst, CASE WHEN s.node = t.node THEN 0.0 ELSE coalesce(d.b.cost, 1e9) END AS time, d.b.path AS path FROM stops s JOIN stops t ON t.id = s.id LEFT JOIN d{ROUNDS} d ON d.search_id = s.node AND d.node = t.node)",
+       "maps AS MATERIALIZED (SELECT id, map_from_entries(list({'k': concat(src, '>', dst), 'v': time})) AS m FROM times GROUP BY id)"]
+    + _inserted()
+    + ["legs AS MATERIALIZED (SELECT g.id, g.c, k, t.time, CASE WHEN t.path IS NULL THEN [] ELSE t.path[2:] END AS more FROM g5 g, range(1, 12) r(k), times t WHERE k < len(g.stops) AND t.id = g.id AND t.src = g.stops[k] AND t.dst = g.stops[k + 1])",
+       "driven AS MATERIALIZED (SELECT g.id, g.c, g.own, list_concat([g.stops[1]], flatten(coalesce(list(l.more ORDER BY l.k) FILTER (l.k IS NOT NULL), []))) AS route, coalesce(sum(l.time), 0.0) AS time FROM g5 g LEFT JOIN legs l ON l.id = g.id AND l.c = g.c GROUP BY g.id, g.c, g.own, g.stops)"],
+    "SELECT id, CAST(c AS INT) AS driver_id, array_to_string(route, ',') AS route, array_to_string(own, ',') AS order_ids, round(sum(time) OVER (PARTITION BY id), 3) AS total_delivery_time_s FROM driven"))
 def delivery_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2-R4, W8, W9, F13, A8, A11."""
     t = Tables(spark, sf_dir)
