@@ -42,6 +42,11 @@ def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    """The rows of several results of ``cut`` of one schema, as one scan."""
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*(p._wayloom_path for p in parts))
+
+
 def normalize_edges(edges: DataFrame) -> DataFrame:
     """Edges with every column present and defaults for nulls; either name of the mean time is read."""
     have = set(edges.columns)

@@ -151,6 +151,13 @@ def shortest_paths_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.shortest_paths(t.stored("nodes"), graph.adjacency(t.stored("edges")), _asked(t, "distance")))
 
 
+@query(_with(ctes("adj", "path_requests") + [_SEARCHES.format("distance")] + bellman_ford("searches", "adj", allowed=_OK), _ANSWER.format(n=ROUNDS)))
+def shortest_paths_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2, G5, J1, A1 as on a graph of too many edges to broadcast, whatever its size here."""
+    t = Tables(spark, sf_dir)
+    return _shown(search.shortest_paths(t.stored("nodes"), graph.adjacency(t.stored("edges")), _asked(t, "distance"), few=0))
+
+
 _TIME_ADJ = "tadj AS MATERIALIZED (SELECT u AS src, v AS dst, length, road_type, sp, cum FROM summed UNION ALL SELECT v, u, length, road_type, sp, cum FROM summed WHERE NOT oneway)"
 
 
