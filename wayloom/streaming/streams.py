@@ -13,7 +13,7 @@ from ..plans import events as plan
 
 
 class EdgeState:
-    """The edges after all updates so far, in folders ``path``/v0, v1 ...
+    """The edges after all updates so far, in folders ``path``/v0, v1 ..., of which the last two are kept.
 
     ``folded``, the largest seq whose update the state has, is stored with each version;
     updates up to it are ignored, so a batch that is replayed changes nothing.
@@ -39,6 +39,8 @@ class EdgeState:
 
     def _write(self, edges: DataFrame, folded: int, version: int) -> None:
         edges.withColumn("folded", F.lit(folded).cast("long")).write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        fs, _ = self._files()
+        fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version - 2}"), True)
 
     def edges(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self._latest()}").drop("folded")
@@ -71,7 +73,8 @@ def stream_answers(stream: DataFrame, nodes: DataFrame, base: DataFrame, path: s
     """Answer a stream of mixed events; ``sink`` gets each batch's answers.
 
     A batch sees the edges as earlier batches left them, and its own updates by
-    their place in the log.
+    their place in the log. After a failure some events of a batch may be answered
+    again, each as before, so a sink that keeps one answer for each seq has each once.
     """
 
     def each(batch: DataFrame, number: int) -> None:
