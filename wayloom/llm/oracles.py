@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express.
 
-The scores of op1, op6 and op7, the CRC-32 of op8, the tree work of op9 and the
-packing of op10 are beyond SQL; tests hold those against brute force, round trips and held-out rows.
+The scores of op1, op6 and op7, the CRC-32 of op8, the tree work of op9, the
+packing of op10 and the eigenvectors of op11 are beyond SQL; tests hold those against brute force, round trips and held-out rows.
 """
 
 from __future__ import annotations
@@ -67,3 +67,56 @@ ORACLES["line_rules_with_banners"] = (
     "WITH bannered AS MATERIALIZED (SELECT doc_id, source, array_to_string(list_transform(range(1, 61), lambda i: 'term' || i || '_' || source), ' ') || chr(10) || coalesce(text, '') AS text FROM documents),"
     + _LINE_RULES.replace("@", "bannered")
 )
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's bytes: each byte is taken in, then eight shifts follow."""
+    steps = f"list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length({text}) + 1), lambda i: list_prepend(CAST(unicode(substr({text}, i, 1)) AS BIGINT), list_value(-1, -1, -1, -1, -1, -1, -1, -1)))))"
+    return f"xor(CAST(4294967295 AS BIGINT), list_reduce({steps}, lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"
+
+
+def _tree(first: str, group: str, depth: int) -> list[str]:
+    """CTEs of the levels of a tree: {first}1, {first}2 ... from {first}0 (group, pos, h)."""
+    out = []
+    for i in range(depth):
+        one = f"SELECT {group} AS g, pos, h, count(*) OVER (PARTITION BY {group}) AS n FROM {first}{i}" if i == 0 and group != "g" else f"SELECT g, pos, h, count(*) OVER (PARTITION BY g) AS n FROM {first}{i}"
+        out.append(f"{first}{i + 1} AS MATERIALIZED (SELECT g, pos // 2 AS pos, CASE WHEN max(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM ({one}) GROUP BY g, pos // 2)")
+    return out
+
+
+#: Levels that the SQL unrolls: up to 4,096 documents of a language, and 16 languages.
+_DEEP, _LANGS = 12, 4
+
+
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR) || ':' || CAST({column} AS VARCHAR) END"
+
+
+def _merkle() -> str:
+    leaf = lambda n: "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    parts = [
+        f"own AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('n_chars')} AS leaf, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {leaf('(n_chars + 1)')} END AS t FROM documents)",
+        "a AS MATERIALIZED (SELECT doc_id, g, leaf, coalesce(t, leaf) AS claim, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM own)",
+        "l0 AS MATERIALIZED (SELECT g, pos, leaf AS h FROM a)", *_tree("l", "g", _DEEP),
+        f"s0 AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, h, g AS grp FROM l{_DEEP})", *_tree("s", "g", _LANGS),
+        f"f0 AS MATERIALIZED (SELECT doc_id, a.g, a.pos, leaf, claim AS f, '' AS proof, r.h AS subroot, s0.pos AS lang_pos, (SELECT h FROM s{_LANGS}) AS root FROM a JOIN l{_DEEP} r ON r.g = a.g JOIN s0 ON s0.grp = a.g)",
+    ]
+    keep = "f.doc_id, f.leaf, f.subroot, f.root"
+    for i in range(_DEEP + _LANGS):
+        at, level, g, pos = (f"l{i}", i, "f.g", "f.pos") if i < _DEEP else (f"s{i - _DEEP}", i - _DEEP, "0", "f.lang_pos")
+        one = f"(SELECT g, count(*) AS n FROM {at} GROUP BY g)"
+        fold = f"CASE WHEN c.n = 1 THEN f.f WHEN o.h IS NULL THEN sha256(f.f) WHEN ({pos} >> {level}) % 2 = 0 THEN sha256(f.f || o.h) ELSE sha256(o.h || f.f) END"
+        parts.append(f"f{i + 1} AS MATERIALIZED (SELECT {keep}, f.g, f.pos, f.lang_pos, {fold} AS f, f.proof || coalesce(o.h, '') AS proof FROM f{i} f JOIN {one} c ON c.g = {g} LEFT JOIN {at} o ON o.g = {g} AND o.pos = xor({pos} >> {level}, 1))")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{_DEEP + _LANGS}"
+
+
+ORACLES["op12_merkle_manifest"] = _merkle()
+
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLES["op13_line_dedup"] = f"""
+WITH own AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+ln AS MATERIALIZED (SELECT doc_id, r, i, l[i] AS line, {_LOWER.format(f"trim(l[i], {_WHITE})")} AS k FROM (SELECT doc_id, r, l, unnest(range(1, len(l) + 1)) AS i FROM own)),
+shared AS MATERIALIZED (SELECT k, max(doc_id) AS top FROM ln WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3),
+judged AS (SELECT ln.r, ln.i, ln.line, s.k IS NOT NULL AND (ln.doc_id IS NULL OR ln.doc_id < s.top) AS gone FROM ln LEFT JOIN shared s ON s.k = ln.k),
+kept AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS t FROM judged GROUP BY r)
+SELECT o.doc_id, k.n_lines, k.n_dropped, sha256(k.t) AS kept_sha256 FROM own o JOIN kept k ON k.r = o.r"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html, language, lattice, line_rules, near_duplicates, packing, quality, sharding
+from . import chat, decontamination, html, language, lattice, line_dedup, line_rules, merkle, near_duplicates, packing, quality, sharding, whitening
 from .common import remainder, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -83,10 +83,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), window=2048)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claimed = F.when(tampered, merkle.leaf_digest({**fields, "n_chars": F.col("n_chars") + 1}.values()))
+    found = merkle.manifest(docs.select("doc_id", "lang", merkle.leaf_digest(fields.values()).alias("leaf"), claimed.alias("claimed")), key="doc_id", group="lang")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=3, chars=20)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lattice_likelihood, op2_decontamination, op3_chat_format, op4_near_duplicates, op5_line_rules,
-        op6_language, op7_quality, op8_sharding, op9_main_text, op10_packing, line_rules_with_banners,
+        op6_language, op7_quality, op8_sharding, op9_main_text, op10_packing,
+        op11_whitening, op12_merkle_manifest, op13_line_dedup, line_rules_with_banners,
     )
 }
