@@ -1,59 +1,34 @@
-"""Batched shortest-path searches as rounds of joins and minimum aggregations."""
+"""Batched shortest-path searches in rounds over the cells of a graph."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from . import graph
+from . import cells, graph
 
 #: Constraint columns a frame of searches may have.
 CONSTRAINTS = ("forbidden_nodes", "forbidden_road_types", "forbidden_edges", "seq")
 
-
-#: Edges followed between two looks at the labels, where edges are broadcast.
-HOPS = 6
-
-#: Rounds whose new labels lie in tables of their own before they are merged, where edges are many.
+#: Rounds whose new entries lie in tables of their own before they are merged.
 MERGE = 16
 
 
-def allowed(columns: set[str], have: set[str], edge: Callable[[str], Column] = F.col) -> Column:
-    """Whether an edge (``edge`` gets its columns) may be driven by the search whose columns stand beside it."""
-    ok = F.lit(True)
-    if "forbidden_nodes" in columns:
-        ok = ok & ~F.coalesce(F.array_contains("forbidden_nodes", edge("dst")), F.lit(False))
-    if "forbidden_road_types" in columns:
-        ok = ok & ~F.coalesce(F.array_contains("forbidden_road_types", edge("road_type")), F.lit(False))
-    if "forbidden_edges" in columns:
-        ok = ok & ~F.coalesce(F.exists("forbidden_edges", lambda e: (e["u"] == edge("src")) & (e["v"] == edge("dst"))), F.lit(False))
-    if "seq" in columns and "valid_from" in have:
-        ok = ok & (edge("valid_from") <= F.col("seq")) & (F.col("seq") < edge("valid_to"))
-    return ok
-
-
-def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_path: bool = False, depart: float = 0.0, slot_width: float = geo.SLOT_WIDTH, stop: DataFrame | None = None, few: int | None = None) -> DataFrame:
+def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_path: bool = False, depart: float = 0.0, slot_width: float = geo.SLOT_WIDTH, stop: DataFrame | None = None, few: int | None = None, where: DataFrame | None = None) -> DataFrame:
     """Best cost of each node that each search reaches: search_id, node, cost[, path].
 
     ``adj``: src, dst and ``weight``; for ``weight='time'`` length and
-    speed_profile, and the cost is the clock on arrival. ``searches``: search_id,
+    speed_profile, and the cost is the clock on arrival. ``searches``: search_id (an integer),
     source, optionally target and constraint columns. With a target, nothing is
-    followed beyond the best cost known for it. ``stop`` (node, group) with a
+    followed beyond the best cost known for it, and only its label is returned. ``stop`` (node, group) with a
     search column ``k`` and ``group`` ends a search once k nodes of its group have been reached
-    at no more cost. Ties go to the lexicographically smallest path.
-
-    A round joins the labels that the last one improved to the edges and takes
-    the minimum per search and node over them and the labels so far; it is exact
-    for weights that are not negative and for arrival times, where leaving later
-    never means arriving earlier. Rounds end when nothing improves. Few edges (at most
-    ``few``, ``graph.BROADCAST_ROWS`` if not given) are
-    broadcast as neighbour lists, and a round then follows ``HOPS`` of
-    them in one task per group of searches. Many are partitioned once by ``src`` and kept; a
-    round then writes the improved labels alone, as a table of their own. Older labels
-    are read for those nodes that the round has met, without a shuffle while these are few enough to broadcast.
+    at no more cost. Ties go to the lexicographically smallest path among those without repeated nodes.
+
+    One plan at every size: nodes lie in cells (``where``: node, cell; by node ids if not given), and a
+    round crosses a cell (``cells.rounds``). It is exact for weights that are not negative and for arrival times,
+    where leaving later never means arriving earlier. Rounds end when nothing improves.
+    ``few`` is of no use any more and may be left out.
     """
     columns = set(searches.columns)
     timed = weight == "time"
@@ -64,109 +39,17 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
         need.append("road_type")
     if "seq" in columns and "valid_from" in adj.columns:
         need += ["valid_from", "valid_to"]
-    have = set(need)
-    edges = adj.select(*dict.fromkeys(need)).filter("src <> dst").persist()
-    held = [edges]
-    near = edges.count() <= (graph.BROADCAST_ROWS if few is None else few) // (16 if timed else 1)
     limits = [c for c in CONSTRAINTS if c in columns]
-    asked = searches.select("search_id", *limits, *[c for c in ("target", "k", "group") if c in columns]).persist()
-    held.append(asked)
+    if where is None:
+        ids = adj.select(F.col("src").alias("id")).union(adj.select("dst")).union(searches.select("source")).distinct()
+        where = cells.assign(ids)
+    edges = adj.select(*dict.fromkeys(need)).filter("src <> dst")
     path = [F.array("source").alias("path")] if with_path else []
-    kind = ["cost", "path"] if with_path else ["cost"]
-    done = graph.cut(searches.select("search_id", F.col("source").alias("node"), F.lit(float(depart)).alias("cost"), *path, *([F.lit(True).alias("new")] if near else [])))
-    if near:
-        held.append(edges.groupBy("src").agg(F.collect_list(F.struct(*need)).alias("out")).withColumnRenamed("src", "at").persist())
-        lists = F.broadcast(held[-1])
-    else:
-        edges = edges.repartition("src").persist()
-        edges.count()
-        held.pop(0).unpersist()
-        held.append(edges)
-
-    def onward(cost: Column, edge: Callable[[str], Column]) -> Column:
-        return geo.arrival_time(cost, edge("length"), edge("_v"), edge("_c"), slot_width) if timed else cost + edge(weight)
-
-    def moved(edge: Callable[[str], Column]) -> list[Column]:
-        more = [F.concat("path", F.array(edge("dst"))).alias("path")] if with_path else []
-        return [edge("dst").alias("node"), onward(F.col("cost"), edge).alias("cost"), *more, *([F.lit(True).alias("new")] if near else [])]
-
-    def least(rows: DataFrame) -> DataFrame:
-        # of equal labels the old one wins, as false is less than true
-        label = (*kind, "new") if near else kind
-        best = rows.groupBy("search_id", "node").agg(F.min(F.struct(*label)).alias("_b"))
-        return best.select("search_id", "node", *(f"_b.{c}" for c in label))
-
-    def bounded(rows: DataFrame) -> DataFrame:
-        """``rows`` in which labels that cannot lead to anything better are not new."""
-        if "target" in columns:
-            best = rows.join(asked.select("search_id", "target"), "search_id").filter("node = target").select("search_id", F.col("cost").alias("_best"))
-        elif stop is not None:
-            hits = rows.join(asked.select("search_id", "group", "k"), "search_id").join(stop, ["node", "group"])
-            best = hits.selectExpr("search_id", "cost as _best", "k", "row_number() over (partition by search_id order by cost, node) as _r").filter("_r = k").select("search_id", "_best")
-        else:
-            return rows
-        open_ = F.col("new") & (F.col("_best").isNull() | (F.col("cost") < F.col("_best")))
-        return rows.join(best, "search_id", "left").withColumn("new", open_).drop("_best")
-
-    def hop(rows: DataFrame) -> DataFrame:
-        met = rows.join(lists, F.col("node") == F.col("at"), "left")
-        met = met.join(asked.select("search_id", *limits), "search_id") if limits else met
-        stay = F.struct("node", "cost", *(["path"] if with_path else []), F.lit(False).alias("new"))
-        go = F.transform(F.filter("out", lambda e: allowed(columns, have, lambda c: e[c])), lambda e: F.struct(*moved(lambda c: e[c])))
-        every = F.when(F.col("new") & F.col("out").isNotNull(), F.concat(F.array(stay), go)).otherwise(F.array(stay))
-        return least(met.select("search_id", F.explode(every).alias("_m")).select("search_id", "_m.*"))
-
-    ends = "target" in columns or stop is not None
-
-    def marked(rows: DataFrame) -> DataFrame:
-        """``rows`` and whether such a node ends its search, where searches have an end."""
-        if "target" in columns:
-            return rows.join(asked.select("search_id", "target"), "search_id").withColumn("hit", F.coalesce(F.col("node") == F.col("target"), F.lit(False))).drop("target")
-        if stop is not None:
-            met = stop.select("node", "group").distinct().withColumn("_hit", F.lit(True))
-            return rows.join(asked.select("search_id", "group"), "search_id").join(met, ["node", "group"], "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).select(*rows.columns, "hit")
-        return rows
-
-    def frontiers() -> DataFrame:
-        """All labels, by rounds that move the improved ones."""
-        front = graph.cut(marked(done)) if ends else done
-        parts = [front]
-        while True:
-            if ends:
-                hits = graph.together(parts).filter("hit").groupBy("search_id", "node").agg(F.min("cost").alias("cost"))
-                hits = hits.withColumn("k", F.lit(1)) if "target" in columns else hits.join(asked.select("search_id", "k"), "search_id")
-                best = hits.selectExpr("search_id", "cost as _best", "k", "row_number() over (partition by search_id order by cost, node) as _r").filter("_r = k").select("search_id", "_best")
-                front = front.join(best, "search_id", "left").filter("_best is null or cost < _best").drop("_best", "hit")
-            front = front.join(asked.select("search_id", *limits), "search_id") if limits else front
-            tried = front.join(edges, front["node"] == edges["src"]).filter(allowed(columns, have)).select("search_id", *moved(F.col))
-            tried = graph.cut(marked(least(tried)))
-            old = graph.together(parts).join(tried.select("search_id", "node"), ["search_id", "node"], "left_semi")
-            old = old.select(F.col("search_id").alias("_s"), F.col("node").alias("_n"), F.struct(*kind).alias("_old"))
-            known = (F.col("search_id") == F.col("_s")) & (F.col("node") == F.col("_n")) & (F.col("_old") <= F.struct(*kind))
-            front = graph.cut(tried.join(old, known, "left_anti"), tried)
-            if front.isEmpty():
-                return graph.cut(least(graph.together(parts)))
-            parts.append(front)
-            if len(parts) > MERGE:
-                parts = [graph.cut(marked(least(graph.together(parts))))]
-
-    if not near:
-        out = frontiers()
-        for kept in held:
-            kept.unpersist()
-        return out
-    # a number given, or few bytes would be put into one task whatever work they mean
-    spread = max(int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions")), adj.sparkSession.sparkContext.defaultParallelism)
-    while True:
-        # by search, so that no hop shuffles: a search has at most a label for each node of a small graph
-        after = bounded(done).repartition(spread, "search_id")
-        for _ in range(HOPS):
-            after = hop(after)
-        done = graph.cut(after, done)
-        if done.filter("new").isEmpty():
-            for kept in held:
-                kept.unpersist()
-            return done.drop("new")
+    asked = searches.select("search_id", *limits, *[c for c in ("target", "k", "group") if c in columns]).persist()
+    done = searches.select("search_id", F.col("source").alias("node"), F.lit(float(depart)).alias("cost"), *path)
+    out = cells.rounds(edges, where, done, asked, limits, weight, with_path, slot_width, stop, MERGE)
+    asked.unpersist()
+    return out
 
 
 def share(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,21 +63,23 @@ def share(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs, told.select("search_id", "_run")
 
 
-def shortest_paths(nodes: DataFrame, adj: DataFrame, searches: DataFrame, mode: str = "distance", depart: float = 0.0, slot_width: float = geo.SLOT_WIDTH, few: int | None = None) -> DataFrame:
+def shortest_paths(nodes: DataFrame, adj: DataFrame, searches: DataFrame, mode: str = "distance", depart: float = 0.0, slot_width: float = geo.SLOT_WIDTH, few: int | None = None, where: DataFrame | None = None) -> DataFrame:
     """search_id, possible, cost, path for every search.
 
     ``mode``: ``distance`` (length), ``time`` (arrival under the speed profiles) or
     ``avg_time`` (mean times). A search with an unknown or forbidden end is not
-    possible; a source that is its target costs nothing. Equal searches run once.
+    possible; a source that is its target costs nothing. Equal searches run once. ``where``: cells of
+    the nodes, as ``cells.assign`` makes them. ``few`` is of no use any more.
     """
     if mode not in ("distance", "time", "avg_time"):
         raise ValueError(f"unknown mode {mode!r}")
     checked = graph.check_endpoints(searches, nodes)
     runs, told = share(checked.filter("valid").drop("valid"))
+    where = cells.assign(nodes) if where is None else where
     weight = {"distance": "length", "time": "time", "avg_time": "edge_time"}[mode]
     if mode == "avg_time":
         adj = adj.withColumn("edge_time", geo.edge_time(F.col("avg_time"), F.col("length")))
-    found = labels(adj, runs, weight, True, depart, slot_width, few=few)
+    found = labels(adj, runs, weight, True, depart, slot_width, where=where)
     ends = found.join(runs.select(F.col("search_id"), "target"), "search_id").filter("node = target")
     answers = told.join(ends.select(F.col("search_id").alias("_run"), "cost", "path"), "_run")
     out = searches.select("search_id").join(answers.drop("_run"), "search_id", "left")
