@@ -262,19 +262,13 @@ def final_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(ctes("edges", "hot_updates") + [_VERSIONS.format(up="hot_updates")], _FINAL))
 def streamed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The updates arrive as files of a stream, in order, and are folded batch by batch."""
-    t = Tables(spark, sf_dir)
-    root = graph.shared_dir(spark)
-    log = t["hot_updates"]
-    log.repartitionByRange(3, "seq").sortWithinPartitions("seq").write.parquet(f"{root}/in")
-    names = sorted(f.split("/")[-1] for f in spark.read.parquet(f"{root}/in").inputFiles())
-    for n, name in enumerate(names):
-        spark.read.parquet(f"{root}/in/{name}").write.parquet(f"{root}/log/part={n}")
-    base = t.stored("edges").withColumn("active", F.lit(True))
-    for n in range(len(names)):
-        stream = spark.readStream.schema(log.schema).parquet(f"{root}/log/part={n}")
-        streams.stream_edge_state(stream, base, f"{root}/state").option("checkpointLocation", f"{root}/at{n}").trigger(availableNow=True).start().awaitTermination()
-    return streams.EdgeState(base, f"{root}/state").edges().select("id", "u", "v", "road_type", "oneway", "length", "active")
+    """One stream over files that hold the updates out of order, a file to a batch."""
+    t = Tables(spark, sf_dir)
+    root, log = graph.shared_dir(spark), t["hot_updates"]
+    log.repartition(3, F.xxhash64("seq")).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    streams.stream_edge_changes(stream, f"{root}/changes").option("checkpointLocation", f"{root}/at").trigger(availableNow=True).start().awaitTermination()
+    return streams.edges_of_changes(t.stored("edges"), f"{root}/changes").select("id", "u", "v", "road_type", "oneway", "length", "active")
 
 
 # --- nearest nodes ---------------------------------------------------------------------------
