@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import graph
 
 #: Nodes of a cell at most, and searches of a unit of work on average.
-CELL_NODES, UNIT = 1024, 32
+CELL_NODES, UNIT = 2048, 32
 
 
 def _interleaved(x: Column) -> Column:
@@ -128,16 +128,16 @@ def follow(entries: list[tuple[float, tuple]], out: dict[int, list[tuple]], own:
     return settled, leave
 
 
-def rounds(edges: DataFrame, cells: DataFrame, done: DataFrame, asked: DataFrame, limits: list[str], weight: str, with_path: bool, slot: float, stop: DataFrame | None, merge: int) -> DataFrame:
+def rounds(edges: DataFrame, cells: DataFrame, done: DataFrame, asked: DataFrame, limits: list[str], weight: str, with_path: bool, slot: float, stop: DataFrame | None, merge: int, have: DataFrame | None = None) -> DataFrame:
     """search_id, node, cost[, path] of the searches of ``asked``, from the labels ``done`` of their sources.
 
     ``edges``: src, dst, what ``weight`` needs and what ``limits`` (constraint columns of ``asked``) look at.
     With a target only its label is among the result; with ``stop`` (node, group) and k, what was met
-    until the k-th place; else all nodes.
+    until the k-th place; else all nodes. ``have``: the edges as ``packed`` made them for an earlier call.
     """
     timed = weight == "time"
     columns = [c for c in edges.columns if c not in ("src", "dst")]
-    have = packed(edges, cells, ["src", "dst", *columns])
+    have = packed(edges, cells, ["src", "dst", *columns]) if have is None else have
     dated = "valid_from" in columns and "seq" in limits
     target, every = "target" in asked.columns, stop is not None
     kind = ["cost", "path"] if with_path else ["cost"]

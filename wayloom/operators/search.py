@@ -15,7 +15,7 @@ CONSTRAINTS = ("forbidden_nodes", "forbidden_road_types", "forbidden_edges", "se
 MERGE = 16
 
 
-def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_path: bool = False, depart: float = 0.0, slot_width: float = geo.SLOT_WIDTH, stop: DataFrame | None = None, few: int | None = None, where: DataFrame | None = None) -> DataFrame:
+def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_path: bool = False, depart: float = 0.0, slot_width: float = geo.SLOT_WIDTH, stop: DataFrame | None = None, few: int | None = None, where: DataFrame | None = None, have: DataFrame | None = None) -> DataFrame:
     """Best cost of each node that each search reaches: search_id, node, cost[, path].
 
     ``adj``: src, dst and ``weight``; for ``weight='time'`` length and
@@ -28,7 +28,7 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
     One plan at every size: nodes lie in cells (``where``: node, cell; by node ids if not given), and a
     round crosses a cell (``cells.rounds``). It is exact for weights that are not negative and for arrival times,
     where leaving later never means arriving earlier. Rounds end when nothing improves.
-    ``few`` is of no use any more and may be left out.
+    ``have``: their edges, where ``cells.packed`` made them before. ``few`` is of no use any more and may be left out.
     """
     columns = set(searches.columns)
     timed = weight == "time"
@@ -47,7 +47,7 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
     path = [F.array("source").alias("path")] if with_path else []
     asked = searches.select("search_id", *limits, *[c for c in ("target", "k", "group") if c in columns]).persist()
     done = searches.select("search_id", F.col("source").alias("node"), F.lit(float(depart)).alias("cost"), *path)
-    out = cells.rounds(edges, where, done, asked, limits, weight, with_path, slot_width, stop, MERGE)
+    out = cells.rounds(edges, where, done, asked, limits, weight, with_path, slot_width, stop, MERGE, have)
     asked.unpersist()
     return out
 
@@ -86,6 +86,6 @@ def shortest_paths(nodes: DataFrame, adj: DataFrame, searches: DataFrame, mode:
     return out.select("search_id", F.col("path").isNotNull().alias("possible"), (F.col("cost") - F.lit(float(depart))).alias("cost"), "path")
 
 
-def sssp(adj: DataFrame, sources: DataFrame, weight: str = "length") -> DataFrame:
+def sssp(adj: DataFrame, sources: DataFrame, weight: str = "length", where: DataFrame | None = None, have: DataFrame | None = None) -> DataFrame:
     """search_id, node, cost: distances from each source to all it reaches."""
-    return labels(adj, sources, weight)
+    return labels(adj, sources, weight, where=where, have=have)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -383,18 +384,12 @@ def _farthest(n: int, rounds: int = ROUNDS) -> list[str]:
 @query(_with(ctes("adj") + _farthest(16), " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS pos, l AS landmark FROM p{k}" for k in range(16))))
 def landmark_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen landmarks."""
-    _MARKS[sf_dir] = [tuple(r) for r in landmarks.select_landmarks(graph.cut(graph.adjacency(Tables(spark, sf_dir).stored("edges"))), 16).collect()]
-    return _marks(spark, sf_dir)
+    return _marks(Tables(spark, sf_dir))
 
 
-#: The landmarks found for a folder, as several queries start from them.
-_MARKS: dict[str, list[tuple[int, int]]] = {}
-
-
-def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if sf_dir not in _MARKS:
-        landmark_choice(spark, sf_dir)
-    return spark.createDataFrame(_MARKS[sf_dir], "pos int, landmark long")
+def _marks(t: Tables) -> DataFrame:
+    """The sixteen landmarks of the tables' graph as it is now."""
+    return graph.cut(landmarks.select_landmarks(graph.cut(graph.adjacency(t.stored("edges"))), 16))
 
 
 def _renamed(parts: list[str], mark: str) -> list[str]:
@@ -422,7 +417,7 @@ def approximate_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each estimate keeps its bound against the exact distance."""
     t = Tables(spark, sf_dir)
     adj, nodes, pairs = graph.cut(graph.adjacency(t.stored("edges"))), t.stored("nodes"), graph.cut(t["approx_requests"])
-    tables = graph.cut(landmarks.landmark_distances(adj, _marks(spark, sf_dir)))
+    tables = graph.cut(landmarks.landmark_distances(adj, _marks(t)))
     found = landmarks.approx_distances(adj, nodes, tables, pairs)
     exact = search.shortest_paths(nodes, adj, pairs.select(F.col("pair_id").alias("search_id"), "source", "target"))
     both = found.join(exact.select(F.col("search_id").alias("pair_id"), "cost"), "pair_id").join(pairs.select("pair_id", "acceptable_error_pct"), "pair_id")
@@ -437,11 +432,40 @@ def estimates_without_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G10, G11 with no error allowed: an estimate stands only where both bounds meet, the others are searched."""
     t = Tables(spark, sf_dir)
     adj, nodes, pairs = graph.cut(graph.adjacency(t.stored("edges"))), t.stored("nodes"), graph.cut(t["approx_requests"])
-    tables = graph.cut(landmarks.landmark_distances(adj, _marks(spark, sf_dir)))
+    tables = graph.cut(landmarks.landmark_distances(adj, _marks(t)))
     found = landmarks.approx_distances(adj, nodes, tables, pairs.withColumn("acceptable_error_pct", F.lit(0.0)))
     return found.select("pair_id", F.round("distance", 3).alias("distance"))
 
 
+_BOUNDS = [
+    "marks AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS search_id, l AS source FROM p{k}" for k in range(16)) + ")",
+    "radj AS MATERIALIZED (SELECT dst AS src, src AS dst, length FROM adj)",
+    *_renamed(bellman_ford("marks", "adj"), "f"), *_renamed(bellman_ford("marks", "radj"), "r"),
+    f"""bounds AS MATERIALIZED (SELECT p.pair_id, min(rs.b.cost + ft.b.cost) AS upper, greatest(0.0, max(rs.b.cost - rt.b.cost), max(ft.b.cost - fs.b.cost)) AS lower
+  FROM approx_requests p JOIN marks m ON true LEFT JOIN r{ROUNDS} rs ON rs.search_id = m.search_id AND rs.node = p.source LEFT JOIN r{ROUNDS} rt ON rt.search_id = m.search_id AND rt.node = p.target
+  LEFT JOIN f{ROUNDS} fs ON fs.search_id = m.search_id AND fs.node = p.source LEFT JOIN f{ROUNDS} ft ON ft.search_id = m.search_id AND ft.node = p.target GROUP BY p.pair_id)""",
+    "searches AS MATERIALIZED (SELECT DISTINCT source AS search_id, source FROM approx_requests)", *bellman_ford("searches", "adj"),
+]
+
+
+@query(_with(
+    ctes("adj", "approx_requests") + _farthest(16) + _BOUNDS,
+    f"""SELECT p.pair_id, round(CASE WHEN p.source = p.target THEN 0.0 WHEN b.upper <= b.lower * (1 + p.acceptable_error_pct / 100.0) THEN b.upper ELSE coalesce(d.b.cost, -1.0) END, 3) AS distance,
+  coalesce(d.b.cost <= b.upper + 0.001 AND b.lower <= d.b.cost + 0.001, false) AS bounded
+  FROM approx_requests p JOIN bounds b ON b.pair_id = p.pair_id LEFT JOIN d{ROUNDS} d ON d.search_id = p.source AND d.node = p.target"""))
+def estimates_with_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8-G11, F12, J11 with the errors asked for: the estimate itself, and whether the exact distance lies between the landmarks' bounds."""
+    t = Tables(spark, sf_dir)
+    adj, nodes, pairs = graph.cut(graph.adjacency(t.stored("edges"))), t.stored("nodes"), graph.cut(t["approx_requests"])
+    tables = graph.cut(landmarks.landmark_distances(adj, _marks(t)))
+    found = landmarks.approx_distances(adj, nodes, tables, pairs)
+    exact = search.shortest_paths(nodes, adj, pairs.select(F.col("pair_id").alias("search_id"), "source", "target"))
+    bounds = landmarks.bounds(tables, pairs)
+    all_ = found.join(exact.select(F.col("search_id").alias("pair_id"), "cost"), "pair_id").join(bounds.select("pair_id", "upper", "lower"), "pair_id")
+    held = (F.col("cost") <= F.col("upper") + 0.001) & (F.col("lower") <= F.col("cost") + 0.001)
+    return all_.select("pair_id", F.round("distance", 3).alias("distance"), F.coalesce(held, F.lit(False)).alias("bounded"))
+
+
 # --- several paths, fleets, ingest, mixed logs -------------------------------------------------------
 
 
@@ -580,6 +604,24 @@ def ingested_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.col("ou").alias("u"), F.col("ov").alias("v"), "road_type", "oneway", "length", "avg_time")
 
 
+@query()
+def mixed_log_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P13-P15, J4, X5, L3 over all kinds: updates, paths, places, several paths, estimates, deliveries, as of their places in one log."""
+    t = Tables(spark, sf_dir)
+    roads = t["path_requests"].select("seq", "id", F.lit("shortest_path").alias("type"), "source", "target", "mode")
+    several = t["kpath_requests"].select((F.col("id") * 10 + 1).alias("seq"), "id", F.lit("k_shortest_paths").alias("type"), "source", "target", "k")
+    diverse = t["kpath_requests"].select((F.col("id") * 10 + 2).alias("seq"), "id", F.lit("k_shortest_paths_heuristic").alias("type"), "source", "target", F.lit(2).alias("k"), "overlap_threshold")
+    pair = F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target")))
+    near = t["approx_requests"].select((F.col("pair_id") * 10 + 3).alias("seq"), F.col("pair_id").alias("id"), F.lit("approx_shortest_path").alias("type"), pair.alias("queries"), "acceptable_error_pct")
+    sent = _fleet(t).select((F.col("id") * 10 + 4).alias("seq"), "id", F.lit("delivery").alias("type"), "orders", F.struct("num_drivers", "depot_node").alias("fleet"))
+    places = t["knn_requests"].select("seq", "id", F.lit("knn").alias("type"), "poi", F.struct("lat", "lon").alias("query_point"), "k", "metric")
+    changes = t["updates"].select("seq", "id", "type", "edge_id", F.struct(F.col("p_length").alias("length"), F.lit(None).cast("double").alias("average_time"), F.lit(None).cast("array<double>").alias("speed_profile"), F.col("p_road_type").alias("road_type")).alias("patch"))
+    tens = [one.withColumn("seq", F.col("seq") * 10) for one in (roads, places, changes)]
+    log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*tens, several, diverse, near, sent])
+    found = plan.answer_events(t.pois(), t.profiled(), log)
+    return found.select("seq", "id", "type", "error", "status", "possible", F.round("minimum", 4).alias("minimum"), F.to_json("paths").alias("paths"), F.to_json("distances").alias("distances"), F.to_json("assignments").alias("assignments"), "edge_id", "removed", "done")
+
+
 @query()
 def mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log of updates, path and place requests, and faulty events."""
