@@ -413,3 +413,27 @@ def test_every_filling_combination_takes_part():
     columns, x = packing.fill(packing.combinations([1, 2, 4, 9], 10), target)
     best = {c: n for c, n in zip(columns, x)}
     assert abs(best[(9, 1)] - 5) < 0.2 and abs(best[(4, 4, 2)] - 3) < 0.2
+
+
+def test_furniture_named_by_class_goes_on_every_host(spark):
+    """Reader comments, adverts and menus whose words change, on hosts with and without articles, large and small."""
+    own = lambda i: f"Own words {i} of {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}"
+    around = lambda i, body: f"<body class='has-sidebar'><div class='main-menu'>Go {i}</div>{body}<div class='comments'><p>Reader says {i * 31}</p><div>Another {i}</div></div><div class=ad>Buy item {i}</div>"
+    plain = lambda i: around(i, f"<div class=content><p>{own(i)}</p></div>")
+    marked = lambda i: around(i, f"<article class='post'><p>{own(i)}</p><div id=comments><article class=comment>Said {i}</article></div></article>")
+    held = lambda i: f"<body><div class=sidebar-layout-share><main><p>{own(i)}</p></main></div>"
+    pages = [(h * 100 + i, f"http://h{h}.example/{i}", make(i)) for h, (make, n) in enumerate([(plain, 60), (marked, 60), (plain, 3), (marked, 3), (held, 40), (held, 41)]) for i in range(n)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(pages) and all(t == own(i % 100) for i, t in got.items())
+
+
+def test_depth_changes_nothing():
+    import time
+
+    for depth in (400, 600, 20_000):
+        assert html.main_text("<b>" * depth + "<nav>menu</nav><div class=comments>c</div>own") == "own"
+    assert html.main_text("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table><p>h<div>i</div>j") == "a\nb\nc\nd\ne\nf\ng\nh\ni\nj"
+    begin = time.time()
+    for part in ("<li></li>", "<td></td>", "<p><span>", "<b><p>"):
+        html.main_text("<li><ul>" + "<span>" * 60_000 + part * 60_000)
+    assert time.time() - begin < 60

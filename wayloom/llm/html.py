@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 from html import unescape
 
 import pyarrow as pa
@@ -29,14 +30,17 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 #: Class words that say which item of a menu the page is.
 STATES = frozenset("active current selected open first last odd even".split())
 
-#: Deeper elements are not nested further, so that no step grows with the depth of a page.
-MOST_DEEP = 512
+# Words of classes and ids that name adverts, notices, menus, sidebars and reader comments.
+FURNITURE = frozenset("ad ads advert adverts advertisement advertising sponsored promo comment comments commentlist disqus cookie cookies menu navbar breadcrumb breadcrumbs newsletter sidebar share".split())
+#: Words beside them that say that the element merely has or lacks such a part.
+ABOUT = frozenset("has no with without free open closed".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _DIGITS = re.compile(r"\d")
+_WORDS = re.compile(r"[\s_-]+")
 
 
 class Element:
@@ -93,18 +97,24 @@ def parse(html: str) -> Element:
     """A tree of elements and decoded texts, in time linear in the page.
 
     Missing end tags are implied, stray ones ignored. Once a quoted value does
-    not end, quotes count no more; a tag without '>' is text.
+    not end, quotes count no more; a tag without '>' is text. Elements nest as
+    deep as the page has them: where the open ones of a tag stand is kept by tag.
     """
     root = Element("#root")
     stack, at, n = [root], 0, len(html)
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)
+    blocks = [0]
     quotes = True
     text: list[str] = []
 
     def pop(k: int) -> None:
-        for e in stack[k:]:
-            opened[e.tag] -= 1
-        del stack[k:]
+        while len(stack) > k:
+            opened[stack.pop().tag].pop()
+        while blocks[-1] >= k:
+            blocks.pop()
+
+    def last(tags: Iterable[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened[t]), default=0)
 
     while at < n:
         begin = html.find("<", at)
@@ -139,27 +149,15 @@ def parse(html: str) -> Element:
         tag = m[0].lower()
         if closing:
             if opened[tag]:
-                k = len(stack) - 1
-                while stack[k].tag != tag:
-                    k -= 1
-                pop(k)
+                pop(opened[tag][-1])
             continue
         attrs = html[m.end() : end]
         if tag in IMPLIED:
             ends, border = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in border:
-                    break
-                if stack[k].tag in ends:
-                    pop(k)
-                    break
-        if tag in CLOSES_P and opened["p"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    pop(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            if (k := last(ends)) > last(border):
+                pop(k)
+        if tag in CLOSES_P and opened["p"] and opened["p"][-1] > blocks[-1]:
+            pop(opened["p"][-1])
         e = Element(tag, attrs)
         stack[-1].children.append(e)
         shut = attrs.endswith("/")
@@ -167,9 +165,11 @@ def parse(html: str) -> Element:
             close = _RAW_END[tag].search(html, at)
             end = html.find(">", close.end()) if close else -1
             at = n if end < 0 else end + 1
-        elif tag not in VOID and (not shut or tag in BLOCK) and len(stack) < MOST_DEEP:
+        elif tag not in VOID and (not shut or tag in BLOCK):
+            opened[tag].append(len(stack))
+            if tag in BLOCK and tag != "p":
+                blocks.append(len(stack))
             stack.append(e)
-            opened[tag] += 1
     if rest := "".join([*text, html[at:]]):
         stack[-1].children.append(unescape(rest))
     return root
@@ -211,16 +211,46 @@ def is_dropped(e: Element, inside: bool) -> bool:
     return hides or (not inside and a.get("role", "").lower() in DROPPED_ROLES)
 
 
-def articles(root: Element) -> list[Element]:
-    """Outermost articles; else main elements; none where a page marks neither."""
+def is_furniture(e: Element) -> bool:
+    """Whether a class or the id names an advert, a notice, a menu, a sidebar or reader comments."""
+    if not e.attrs or e.tag in ("html", "body", "#root"):
+        return False
+    a = e.attributes()
+    for name in [*a.get("class", "").lower().split(), a.get("id", "").lower()]:
+        parts = set(_WORDS.split(name))
+        if parts & FURNITURE and not parts & ABOUT:
+            return True
+    return False
+
+
+def is_part(e: Element, name: str) -> bool:
+    """Whether the element is marked as the page's ``name`` (article or main)."""
+    return e.tag == name or bool(e.attrs and e.attributes().get("role") == name)
+
+
+def furniture(root: Element) -> set[int]:
+    """Ids of the elements named as furniture that hold no article or main element of the page."""
+    holds: set[int] = set()
+    named: set[int] = set()
+    for e in reversed(list(root.walk())):
+        named_so = is_furniture(e)
+        if any(id(c) in holds for c in e.elements()) or (not named_so and (is_part(e, "article") or is_part(e, "main"))):
+            holds.add(id(e))
+        elif named_so:
+            named.add(id(e))
+    return named
+
+
+def articles(root: Element, named: set[int] | frozenset[int] = frozenset()) -> list[Element]:
+    """Outermost articles; else main elements; none where a page marks neither. ``named``: ids of furniture."""
     for name in ("article", "main"):
         found: list[Element] = []
         stack = [root]
         while stack:
             e = stack.pop()
-            if is_dropped(e, False):
+            if is_dropped(e, False) or id(e) in named:
                 continue
-            if e.tag == name or (e.attrs and e.attributes().get("role") == name):
+            if is_part(e, name):
                 found.append(e)
             else:
                 stack += reversed(e.elements())
@@ -238,12 +268,17 @@ class Page:
 
     def __init__(self, html: str):
         self.root = parse(html)
+        self.named = furniture(self.root)
+        self.main = articles(self.root, self.named)
+
+    @cached_property
+    def _key(self) -> dict[int, bytes]:
+        """The keys of the elements that have one; where markup decides, none is made."""
         measure(self.root)
-        self.main = articles(self.root)
         inside = {id(x) for m in self.main for x in m.walk()}
         # a page's own frame: whatever holds a main part
         frame = {"#root", "html", "body", "head"}
-        self._key: dict[int, bytes] = {}
+        keys: dict[int, bytes] = {}
         holds: set[int] = set(inside)
         for e in reversed(list(self.root.walk())):
             c = e.elements()
@@ -254,11 +289,12 @@ class Page:
                 continue
             if id(e) in inside:
                 if e.tag in BLOCK:
-                    self._key[id(e)] = (b"p" if e.tag in PROSE else b"b") + e.exact
+                    keys[id(e)] = (b"p" if e.tag in PROSE else b"b") + e.exact
             elif self.main or 2 * e.link_chars > e.chars:
-                self._key[id(e)] = b"o" + e.shape
+                keys[id(e)] = b"o" + e.shape
             else:
-                self._key[id(e)] = b"o" + e.exact
+                keys[id(e)] = b"o" + e.exact
+        return keys
 
     def keys(self) -> set[bytes]:
         """One byte for the kind of place - ``o`` outside the main part, ``b`` a box or ``p`` prose within it - and a hash."""
@@ -289,7 +325,7 @@ class Page:
                     run.append(e)
                 elif e.tag == "br":
                     run.append(" ")
-                elif e is not part and (is_dropped(e, inside) or (templates and self._key.get(id(e)) in templates)):
+                elif e is not part and (is_dropped(e, inside) or id(e) in self.named or (templates and self._key.get(id(e)) in templates)):
                     if e.tag in BLOCK:
                         end()
                 else:
@@ -349,6 +385,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     (``site_templates``, which ``limits`` go to) and the pages of the hosts counted lose their templates;
     no article element decides there. On hosts of too few pages, markup does: the
     article or main element, or else the body, without navigation and the like.
+    On every host, elements whose class or id names an advert, a notice, a menu, a
+    sidebar or reader comments go, unless they hold the article. Pages of any depth are read as they are.
     The hosts' templates - a host has at most its mean number of subtrees divided
     by the share - meet the pages in one join: broadcast while at most ``block_rows``
     hosts have any, by host beyond, where Spark splits a host that is too large for a task.
