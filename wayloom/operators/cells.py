@@ -29,6 +29,14 @@ def _interleaved(x: Column) -> Column:
     return x
 
 
+def curve(nodes: DataFrame) -> Column:
+    """The place of lat and lon on a Z curve over the box that holds all ``nodes``."""
+    box = nodes.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    wide = max((box[1] or 0) - (box[0] or 0), (box[3] or 0) - (box[2] or 0)) or 1.0
+    bits = lambda c, low: _interleaved(F.least(F.floor((F.col(c) - F.lit(low or 0.0)) * F.lit(65535 / wide)), F.lit(65535)).cast("long"))
+    return bits("lat", box[0]).bitwiseOR(F.shiftleft(bits("lon", box[2]), 1))
+
+
 def assign(nodes: DataFrame, most: int | None = None) -> DataFrame:
     """node, cell: each cell has at most ``most`` nodes, whatever their density.
 
@@ -36,10 +44,7 @@ def assign(nodes: DataFrame, most: int | None = None) -> DataFrame:
     there are no coordinates) by one range shuffle and cut into runs within each partition.
     """
     if {"lat", "lon"} <= set(nodes.columns):
-        box = nodes.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-        wide = max((box[1] or 0) - (box[0] or 0), (box[3] or 0) - (box[2] or 0)) or 1.0
-        bits = lambda c, low: _interleaved(F.least(F.floor((F.col(c) - F.lit(low or 0.0)) * F.lit(65535 / wide)), F.lit(65535)).cast("long"))
-        key = bits("lat", box[0]).bitwiseOR(F.shiftleft(bits("lon", box[2]), 1))
+        key = curve(nodes)
     else:
         key = F.col("id")
     rows = nodes.select(F.col("id").alias("node"), key.alias("_z")).dropDuplicates(["node"])
