@@ -86,3 +86,13 @@ def test_hot_cell_searches_and_nodes_without_edges(spark, monkeypatch):
     lone = spark.createDataFrame([(1, 41)], "search_id long, source long")
     assert [tuple(r) for r in search.sssp(adj, lone).collect()] == [(1, 41, 0.0)]
     assert search.sssp(adj, lone.limit(0)).count() == 0
+
+
+def test_costs_are_bounded_by_most(spark):
+    adj = spark.createDataFrame([(i, i + 1, 1.0) for i in range(30)], "src long, dst long, length double")
+    asked = spark.createDataFrame([(0, 0, 4.0), (1, 3, None), (2, 10, 0.0)], "search_id long, source long, most double")
+    where = spark.createDataFrame([(i, i // 3) for i in range(31)], "node long, cell long")
+    got = {(r["search_id"], r["node"]): r["cost"] for r in search.labels(adj, asked, where=where).collect()}
+    assert got == {(0, i): float(i) for i in range(5)} | {(1, 3 + i): float(i) for i in range(28)} | {(2, 10): 0.0}
+    ends = spark.createDataFrame([(0, 0, 7, 7.0), (1, 0, 7, 6.5)], "search_id long, source long, target long, most double")
+    assert [(r["search_id"], r["cost"]) for r in search.labels(adj, ends, where=where).collect()] == [(0, 7.0)]

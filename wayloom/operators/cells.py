@@ -138,7 +138,7 @@ def rounds(edges: DataFrame, cells: DataFrame, done: DataFrame, asked: DataFrame
 
     ``edges``: src, dst, what ``weight`` needs and what ``limits`` (constraint columns of ``asked``) look at.
     With a target only its label is among the result; with ``stop`` (node, group) and k, what was met
-    until the k-th place; else all nodes. ``have``: the edges as ``packed`` made them for an earlier call.
+    until the k-th place; else all nodes. Where ``asked`` has ``most`` (null: none), no label of a search costs more. ``have``: the edges as ``packed`` made them for an earlier call.
     """
     timed = weight == "time"
     columns = [c for c in edges.columns if c not in ("src", "dst")]
@@ -213,7 +213,8 @@ def rounds(edges: DataFrame, cells: DataFrame, done: DataFrame, asked: DataFrame
 
     front = done.select(F.col("search_id").cast("long"), "node", *kind).join(cells, "node")
     front = graph.cut(front.select("search_id", "node", "cell", *kind))
-    parts, met, best = [front], [], None
+    cap = asked.filter("most is not null").select("search_id", F.col("most").alias("_best")) if "most" in asked.columns else None
+    parts, met, best = [front], [], cap
     while not front.isEmpty():
         entered = graph.together(parts)
         work = entered.join(front.select("search_id", "cell").distinct(), ["search_id", "cell"], "left_semi")
@@ -228,6 +229,7 @@ def rounds(edges: DataFrame, cells: DataFrame, done: DataFrame, asked: DataFrame
             else:
                 hits = hits.withColumn("k", F.lit(1))
             best = hits.selectExpr("search_id", "cost as _best", "k", "row_number() over (partition by search_id order by cost, node) as _r").filter("_r = k").select("search_id", "_best")
+            best = best if cap is None else best.unionByName(cap).groupBy("search_id").agg(F.min("_best").alias("_best"))
         tried = least(out.filter("way = 0"), "search_id", "node", "cell")
         old = entered.select(F.col("search_id").alias("_s"), F.col("node").alias("_n"), F.struct(*kind).alias("_old"))
         known = (F.col("search_id") == F.col("_s")) & (F.col("node") == F.col("_n")) & (F.col("_old") <= F.struct(*kind))
@@ -241,5 +243,5 @@ def rounds(edges: DataFrame, cells: DataFrame, done: DataFrame, asked: DataFrame
     if met:
         out = graph.together(met).filter("way = 1")
     else:
-        out = graph.cut(worked(least(graph.together(parts), "search_id", "cell", "node"), None, True))
+        out = graph.cut(worked(least(graph.together(parts), "search_id", "cell", "node"), cap, True))
     return graph.cut(least(out, "search_id", "node").withColumn("search_id", F.col("search_id").cast(number)))

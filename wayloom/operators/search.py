@@ -23,7 +23,7 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
     source, optionally target and constraint columns. With a target, nothing is
     followed beyond the best cost known for it, and only its label is returned. ``stop`` (node, group) with a
     search column ``k`` and ``group`` ends a search once k nodes of its group have been reached
-    at no more cost. Ties go to the lexicographically smallest path among those without repeated nodes.
+    at no more cost. A search column ``most`` bounds the cost of all its labels (null: no bound). Ties go to the lexicographically smallest path among those without repeated nodes.
 
     One plan at every size: nodes lie in cells (``where``: node, cell; by node ids if not given), and a
     round crosses a cell (``cells.rounds``). It is exact for weights that are not negative and for arrival times,
@@ -45,7 +45,7 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
         where = cells.assign(ids)
     edges = adj.select(*dict.fromkeys(need)).filter("src <> dst")
     path = [F.array("source").alias("path")] if with_path else []
-    asked = searches.select("search_id", *limits, *[c for c in ("target", "k", "group") if c in columns]).persist()
+    asked = searches.select("search_id", *limits, *[c for c in ("target", "k", "group", "most") if c in columns]).persist()
     done = searches.select("search_id", F.col("source").alias("node"), F.lit(float(depart)).alias("cost"), *path)
     out = cells.rounds(edges, where, done, asked, limits, weight, with_path, slot_width, stop, MERGE, have)
     asked.unpersist()
