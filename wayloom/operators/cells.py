@@ -12,6 +12,7 @@ import heapq
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from . import graph
 #: Nodes of a cell at most, and searches of a unit of work on average.
 CELL_NODES, UNIT = 2048, 32
 
+#: Relative error granted to sums of lengths before a bound may leave a label out.
+SLACK = 1e-9
+
 
 def _interleaved(x: Column) -> Column:
     """The lower 16 bits of ``x`` with a zero between each two."""
@@ -62,6 +66,35 @@ def packed(edges: DataFrame, cells: DataFrame, columns: list[str]) -> DataFrame:
     return graph.cut(rows.select("cell", *[F.col(f"e.{c}").alias(c) for c in every]))
 
 
+def guided(have: DataFrame, tables: DataFrame) -> DataFrame:
+    """``have`` (as ``packed`` makes it) with the landmark distances of every node its edges touch.
+
+    ``tables``: node, d_from, d_to, arrays by landmark position. Adds h_node, and h_from and h_to, the
+    arrays of all these nodes one after another; a cell and its border are bounded, so are these.
+    """
+    touched = have.select("cell", F.explode(F.array_distinct(F.concat("src", "dst"))).alias("node"))
+    unknown = lambda c: F.transform(c, lambda x: F.lit(None).cast("double"))
+    known = tables.select("node", F.coalesce("d_from", unknown("d_to")).alias("d_from"), F.coalesce("d_to", unknown("d_from")).alias("d_to"))
+    rows = touched.join(known, "node").groupBy("cell").agg(F.collect_list(F.struct("node", "d_from", "d_to")).alias("h"))
+    flat = rows.select("cell", F.col("h.node").alias("h_node"), F.flatten("h.d_from").alias("h_from"), F.flatten("h.d_to").alias("h_to"))
+    return graph.cut(have.join(flat, "cell", "left"))
+
+
+def _landmarks(cell: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray] | None:
+    """Nodes of a cell and their landmark distances from and to, NaN where there is no way."""
+    if not cell.num_rows or "h_node" not in cell.column_names or not (nodes := _lists(cell, "h_node")):
+        return None
+    return nodes, *(np.array(_lists(cell, c), dtype=float).reshape(len(nodes), -1) for c in ("h_from", "h_to"))
+
+
+def _still(marks: tuple[list[int], np.ndarray, np.ndarray], t_from: list, t_to: list) -> dict[int, float]:
+    """node to a bound that its distance to the target cannot fall below, safe against rounding."""
+    nodes, h_from, h_to = marks
+    t_from, t_to = np.array(t_from, dtype=float), np.array(t_to, dtype=float)
+    gaps = np.concatenate([h_to - t_to - SLACK * (h_to + t_to), t_from - h_from - SLACK * (t_from + h_from)], axis=1)
+    return dict(zip(nodes, np.fmax.reduce(gaps, axis=1, initial=0.0).tolist()))
+
+
 def _lists(table: pa.Table, name: str) -> list:
     """The values of the only row of a column of arrays."""
     return table.column(name)[0].as_py()
@@ -93,14 +126,17 @@ def _neighbours(cell: pa.Table, weight: str, timed: bool, slot: float, dated: bo
     return out
 
 
-def follow(entries: list[tuple[float, tuple]], out: dict[int, list[tuple]], own: int, free: Callable[[int, tuple], bool] | None, target: int | None, best: float | None, with_path: bool) -> tuple[dict[int, tuple], dict[int, tuple]]:
+def follow(entries: list[tuple[float, tuple]], out: dict[int, list[tuple]], own: int, free: Callable[[int, tuple], bool] | None, target: int | None, best: float | None, with_path: bool, still: dict[int, float] | None = None) -> tuple[dict[int, tuple], dict[int, tuple]]:
     """Labels settled inside a cell from its entries, and the best label for each node that ways out lead to.
 
     A label is (cost, path), or (cost, (node,)) without paths. They are settled in
     order of cost, then path, so the first of a node is its smallest; a step that costs nothing does not
-    return to the path. Nothing beyond ``best`` or the target's cost is followed.
+    return to the path. Nothing beyond ``best`` or the target's cost is followed; ``still`` holds
+    what a node's way to the target costs at least, and counts towards it.
     """
     heap, settled, leave, seen = list(entries), {}, {}, {}
+    still = still or {}
+    far = lambda cost, node: best is not None and cost + still.get(node, 0.0) > best * (1 + SLACK)
     heapq.heapify(heap)
     while heap:
         label = heapq.heappop(heap)
@@ -110,6 +146,8 @@ def follow(entries: list[tuple[float, tuple]], out: dict[int, list[tuple]], own:
             continue
         if best is not None and cost > best:
             break
+        if still and far(cost, node):
+            continue
         settled[node] = label
         if node == target:
             best = cost
@@ -119,7 +157,7 @@ def follow(entries: list[tuple[float, tuple]], out: dict[int, list[tuple]], own:
             if dst in settled or (free and not free(node, edge)):
                 continue
             after = edge[2](cost)
-            if (best is not None and after > best) or (after == cost and dst in path):
+            if (best is not None and after > best) or (still and far(after, dst)) or (after == cost and dst in path):
                 continue
             kept = leave if edge[1] != own else seen
             old = kept.get(dst)
@@ -138,7 +176,8 @@ def rounds(edges: DataFrame, cells: DataFrame, done: DataFrame, asked: DataFrame
 
     ``edges``: src, dst, what ``weight`` needs and what ``limits`` (constraint columns of ``asked``) look at.
     With a target only its label is among the result; with ``stop`` (node, group) and k, what was met
-    until the k-th place; else all nodes. Where ``asked`` has ``most`` (null: none), no label of a search costs more. ``have``: the edges as ``packed`` made them for an earlier call.
+    until the k-th place; else all nodes. Where ``asked`` has ``most`` (null: none), no label of a search costs more. ``have``: the edges as ``packed`` made them for an earlier call,
+    or ``guided``; then columns t_from and t_to of ``asked`` (landmark distances of the target; null: no bound) leave out labels that cannot be part of a best path.
     """
     timed = weight == "time"
     columns = [c for c in edges.columns if c not in ("src", "dst")]
@@ -154,6 +193,7 @@ def rounds(edges: DataFrame, cells: DataFrame, done: DataFrame, asked: DataFrame
         def run(work: pa.Table, cell: pa.Table) -> pa.Table:
             made: dict[str, list] = {"search_id": [], "way": [], "node": [], "cell": [], "cost": [], **({"path": []} if with_path else {})}
             out = _neighbours(cell, weight, timed, slot, dated) if work.num_rows else {}
+            marks = _landmarks(cell)
             own = work.column("cell")[0].as_py() if work.num_rows else None
 
             def tell(search: int, way: int, to: int | None, labels: Iterator[tuple[int, tuple]]) -> None:
@@ -182,7 +222,8 @@ def rounds(edges: DataFrame, cells: DataFrame, done: DataFrame, asked: DataFrame
                     return not dated or (seq is not None and edge[4] <= seq < edge[5])
 
                 entries = [(r["cost"], tuple(r["path"]) if with_path else (r["node"],)) for r in rows]
-                settled, leave = follow(entries, out, own, free if dated or nodes or types or steps else None, one.get("target"), one.get("_best"), with_path)
+                still = _still(marks, one["t_from"], one["t_to"]) if marks and one.get("t_from") else None
+                settled, leave = follow(entries, out, own, free if dated or nodes or types or steps else None, one.get("target"), one.get("_best"), with_path, still)
                 if whole:
                     tell(search, 2, own, settled.items())
                     continue
@@ -206,7 +247,7 @@ def rounds(edges: DataFrame, cells: DataFrame, done: DataFrame, asked: DataFrame
         searches = work.select("cell", "search_id").distinct().groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
         units = searches.select("cell", F.ceil(F.col("n") / F.lit(UNIT)).cast("int").alias("units"))
         shared = work.join(units, "cell").withColumn("unit", F.pmod(F.xxhash64("search_id"), F.col("units")).cast("int")).drop("units")
-        shared = shared.join(asked.select("search_id", *limits, *(["target"] if target else [])), "search_id")
+        shared = shared.join(asked.select("search_id", *limits, *(c for c in ("target", "t_from", "t_to") if c in asked.columns)), "search_id")
         shared = shared.join(best, "search_id", "left") if best is not None else shared
         open_ = have.join(units, "cell").withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1))).drop("units")
         return shared.groupBy("cell", "unit").cogroup(open_.groupBy("cell", "unit")).applyInArrow(worker(whole), schema)

@@ -28,7 +28,8 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
     One plan at every size: nodes lie in cells (``where``: node, cell; by node ids if not given), and a
     round crosses a cell (``cells.rounds``). It is exact for weights that are not negative and for arrival times,
     where leaving later never means arriving earlier. Rounds end when nothing improves.
-    ``have``: their edges, where ``cells.packed`` made them before. ``few`` is of no use any more and may be left out.
+    ``have``: their edges, where ``cells.packed`` or ``cells.guided`` made them before; with the latter, search columns t_from and
+    t_to (landmark distances of the target) keep a search from nodes too far off its way. ``few`` is of no use any more and may be left out.
     """
     columns = set(searches.columns)
     timed = weight == "time"
@@ -45,7 +46,7 @@ def labels(adj: DataFrame, searches: DataFrame, weight: str = "length", with_pat
         where = cells.assign(ids)
     edges = adj.select(*dict.fromkeys(need)).filter("src <> dst")
     path = [F.array("source").alias("path")] if with_path else []
-    asked = searches.select("search_id", *limits, *[c for c in ("target", "k", "group", "most") if c in columns]).persist()
+    asked = searches.select("search_id", *limits, *[c for c in ("target", "k", "group", "most", "t_from", "t_to") if c in columns]).persist()
     done = searches.select("search_id", F.col("source").alias("node"), F.lit(float(depart)).alias("cost"), *path)
     out = cells.rounds(edges, where, done, asked, limits, weight, with_path, slot_width, stop, MERGE, have)
     asked.unpersist()
@@ -63,13 +64,33 @@ def share(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs, told.select("search_id", "_run")
 
 
-def shortest_paths(nodes: DataFrame, adj: DataFrame, searches: DataFrame, mode: str = "distance", depart: float = 0.0, slot_width: float = geo.SLOT_WIDTH, few: int | None = None, where: DataFrame | None = None) -> DataFrame:
+def _guide(runs: DataFrame, tables: DataFrame) -> DataFrame:
+    """``runs`` with t_from, t_to (arrays of the target) and most (the best way by a landmark), null where they do not count.
+
+    A constraint only lengthens ways, so the lower bound holds under it; a way by a
+    landmark may break it, so ``most`` is for searches without constraints.
+    """
+    side = lambda end, mark: tables.select(F.col("node").alias(end), F.col("d_from").alias(f"{mark}_from"), F.col("d_to").alias(f"{mark}_to"))
+    at = runs.join(side("source", "s"), "source", "left").join(side("target", "t"), "target", "left")
+    counts = F.coalesce("held", F.lit(False)) if "held" in runs.columns else F.lit("seq" not in runs.columns)
+    free = counts
+    for c in CONSTRAINTS:
+        if c in runs.columns and c != "seq":
+            free = free & (F.coalesce(F.size(c), F.lit(0)) <= 0)
+    upper = F.array_min(F.zip_with("s_to", "t_from", lambda a, b: a + b)) * F.lit(1 + cells.SLACK)
+    return at.select(*runs.columns, *[F.when(counts, F.col(c)).alias(c) for c in ("t_from", "t_to")], F.when(free, upper).alias("most")).transform(graph.cut)
+
+
+def shortest_paths(nodes: DataFrame, adj: DataFrame, searches: DataFrame, mode: str = "distance", depart: float = 0.0, slot_width: float = geo.SLOT_WIDTH, few: int | None = None, where: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
     """search_id, possible, cost, path for every search.
 
     ``mode``: ``distance`` (length), ``time`` (arrival under the speed profiles) or
     ``avg_time`` (mean times). A search with an unknown or forbidden end is not
     possible; a source that is its target costs nothing. Equal searches run once. ``where``: cells of
     the nodes, as ``cells.assign`` makes them. ``few`` is of no use any more.
+    ``tables`` (node, d_from, d_to of landmarks; mode ``distance`` only) leave out what cannot be on a best path: see ``_guide``. Answers are the same.
+    A search column ``held`` says whether the tables hold for the edges as the search sees them; without it they hold for
+    searches without seq, and for none with it, as edges differ from place to place of a log.
     """
     if mode not in ("distance", "time", "avg_time"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -79,7 +100,12 @@ def shortest_paths(nodes: DataFrame, adj: DataFrame, searches: DataFrame, mode:
     weight = {"distance": "length", "time": "time", "avg_time": "edge_time"}[mode]
     if mode == "avg_time":
         adj = adj.withColumn("edge_time", geo.edge_time(F.col("avg_time"), F.col("length")))
-    found = labels(adj, runs, weight, True, depart, slot_width, where=where)
+    have = None
+    if tables is not None and mode == "distance":
+        runs = _guide(runs, tables)
+        columns = [c for c in ("length", "road_type", "valid_from", "valid_to") if c in adj.columns]
+        have = cells.guided(cells.packed(adj.select("src", "dst", *columns).filter("src <> dst"), where, ["src", "dst", *columns]), tables)
+    found = labels(adj, runs, weight, True, depart, slot_width, where=where, have=have)
     ends = found.join(runs.select(F.col("search_id"), "target"), "search_id").filter("node = target")
     answers = told.join(ends.select(F.col("search_id").alias("_run"), "cost", "path"), "_run")
     out = searches.select("search_id").join(answers.drop("_run"), "search_id", "left")
