@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import documents
+
 NODE = "struct<id:bigint,lat:double,lon:double,pois:array<string>>"
 EDGE = "struct<id:bigint,u:bigint,v:bigint,length:double,avg_time:double,average_time:double,speed_profile:array<double>,oneway:boolean,road_type:string,active:boolean>"
-GRAPH = f"meta struct<id:string,description:string>, nodes array<{NODE}>, edges array<{EDGE}>"
 
 PATCH = "struct<length:double,average_time:double,speed_profile:array<double>,road_type:string>"
 EVENT_FIELDS = (
@@ -19,21 +20,19 @@ EVENT_FIELDS = (
     "orders:array<struct<order_id:bigint,pickup:bigint,dropoff:bigint>>,goal:string,"
     "fleet:struct<num_delievery_guys:int,num_delivery_guys:int,depot_node:bigint>"
 )
-EVENTS = f"meta struct<id:string>, events array<struct<{EVENT_FIELDS}>>"
-OSM = "elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>>"
+EVENT = f"struct<{EVENT_FIELDS}>"
+OSM = "struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>"
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a graph document (JSON), or of ``nodes`` and ``edges`` folders of Parquet.
 
-    Edges keep ``pos``, their place in the document. Of a document, which is one
-    JSON value, one task reads the text; write it once as Parquet for more.
+    Edges keep ``pos``, their place in the document, which many tasks read (``documents.elements``).
     """
     if path.rstrip("/").endswith(".json"):
-        doc = spark.read.schema(GRAPH).json(path, multiLine=True)
-        nodes = doc.select(F.explode("nodes").alias("n")).select("n.*")
-        edges = doc.select(F.posexplode("edges").alias("pos", "e")).select("e.*", "pos")
-        return nodes, edges
+        found = documents.elements(spark, path)
+        edges = documents.members(found, "edges", EDGE).select("e.*", F.col("pos").cast("int").alias("pos"))
+        return documents.members(found, "nodes", NODE).select("e.*"), edges
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
@@ -44,16 +43,15 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events in order: seq (their place), meta_id, and one column per field, null where an event has none.
-
-    """
-    doc = spark.read.schema(EVENTS).json(path, multiLine=True)
-    return doc.select(F.col("meta.id").alias("meta_id"), F.posexplode("events").alias("seq", "e")).select(F.col("seq").cast("long").alias("seq"), "meta_id", "e.*")
+    """Events in order: seq (their place), meta_id, and one column per field, null where an event has none."""
+    found = documents.elements(spark, path)
+    meta = documents.members(found, "meta", "struct<id:string>").select("path", F.col("e.id").alias("meta_id"))
+    return documents.members(found, "events", EVENT).join(meta, "path", "left").select(F.col("pos").alias("seq"), "meta_id", "e.*")
 
 
 def read_osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, lat, lon) and ways (id, nodes, tags) of a saved map-data file."""
-    e = spark.read.schema(OSM).json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
+    e = documents.members(documents.elements(spark, path), "elements", OSM).select("e.*")
     return e.filter("type = 'node'").select("id", "lat", "lon"), e.filter("type = 'way'").select("id", "nodes", "tags")
 
 
