@@ -103,3 +103,14 @@ def test_labels_followed_inside_a_cell():
     plain = cells.follow([(0.0, (start,))], out, 0, None, target, None, True)[0]
     guided = cells.follow([(0.0, (start,))], out, 0, None, target, best, True, still)[0]
     assert guided[target] == plain[target] and len(guided) < len(plain)
+
+
+def test_distances_to_many_lists_of_targets(spark, monkeypatch):
+    from wayloom.functions import geo
+
+    nodes = spark.createDataFrame([(i, 19.0 + i / 100, 72.0 + i % 7 / 50) for i in range(40)], "id long, lat double, lon double")
+    targets = spark.createDataFrame([(i % 31,) for i in range(60)] + [(99,)], "target long")
+    one = _rows(geo.distances_to(nodes, targets))
+    monkeypatch.setattr(geo, "LISTED", 5)
+    assert _rows(geo.distances_to(nodes, targets)) == one and len(one) == 40 * 32
+    assert geo.distances_to(nodes, targets.limit(0)).count() == 0

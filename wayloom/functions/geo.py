@@ -13,6 +13,9 @@ SLOT_WIDTH = 15.0
 LEAST_SPEED = 0.0001
 FALLBACK_SPEED = 13.8
 
+#: Targets of a list that travels as one row.
+LISTED = 4096
+
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle metres; 1e9 if a coordinate is null."""
@@ -31,14 +34,22 @@ def deg2(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 def distances_to(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """target, id, km: from every node to each of ``targets`` (target); infinite for an unknown target.
 
-    The targets' coordinates are the one side of the pairing and must be few; every
-    node is read once for each.
+    Targets are counted and dealt by hash into lists of about ``LISTED``; every node meets each list once. One list
+    is broadcast; several are joined with the nodes, which are spread over tasks within each list.
     """
     places = nodes.select(F.col("id").alias("target"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     wanted = targets.select("target").distinct().join(places, "target", "left")
-    listed = wanted.agg(F.collect_list(F.struct("target", "t_lat", "t_lon")).alias("all"))
-    one = nodes.withColumn("_k", F.lit(1)).join(F.broadcast(listed.withColumn("_k", F.lit(1))), "_k")
-    pairs = one.select("id", "lat", "lon", F.explode("all").alias("t"))
+    lists = max(-(-targets.select("target").distinct().count() // LISTED), 1)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    listed = wanted.groupBy(dealt("target", lists).alias("_k")).agg(F.collect_list(F.struct("target", "t_lat", "t_lon")).alias("all"))
+    rows = nodes.select("id", "lat", "lon").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
+    if lists == 1:
+        met = rows.join(F.broadcast(listed), "_k")
+    else:
+        spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        copies = listed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        met = rows.withColumn("_s", dealt("id", spread)).join(copies.hint("shuffle_hash"), ["_k", "_s"])
+    pairs = met.select("id", "lat", "lon", F.explode("all").alias("t"))
     km = F.when(F.col("t.t_lat").isNull(), F.lit(float("inf"))).otherwise(haversine_m(F.col("lat"), F.col("lon"), F.col("t.t_lat"), F.col("t.t_lon")) / 1000.0)
     return pairs.select(F.col("t.target").alias("target"), "id", km.alias("km"))
 
