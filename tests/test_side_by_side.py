@@ -88,3 +88,44 @@ def test_landmarks_over_several_cells(spark, monkeypatch):
     for i in range(1, 4):
         near = dist[chosen[:i]].min(axis=0)
         assert near[chosen[i]] == pytest.approx(near[np.isfinite(near)].max())
+
+
+def test_a_sweep_keeps_constraints_as_the_heap_does():
+    rng = random.Random(8)
+    ways = [(*w, rng.choice(["local", "expressway", None])) for w in _graph(rng, 60)]
+    columns = {c: pa.array([[w[i] for w in ways]]) for i, c in enumerate(["src", "dst", "length", "road_type"])}
+    cell = pa.table({**columns, "to": pa.array([[w[1] // 40 for w in ways]])})
+    out = cells.Ways(cell, "length", False, 15.0, False)
+    pick = lambda rows, n: rng.choice([None, [], rng.sample(rows, n)])
+    limits = {s: (pick(range(60), 4), pick(["local", "expressway"], 1), pick([{"u": w[0], "v": w[1]} for w in ways], 25)) for s in range(50)}
+    entries = [(s, node, float(rng.randint(0, 4))) for s in range(50) for node in rng.sample(range(40), 2)]
+    work = pa.table({"search_id": [e[0] for e in entries], "cell": [0] * len(entries), "node": [e[1] for e in entries], "cost": [e[2] for e in entries],
+                     **{c: [limits[e[0]][i] for e in entries] for i, c in enumerate(cells.FORBIDDEN)}})
+    got: dict = {}
+    for whole in (False, True):
+        for s, way, node, _, cost in cells.swept(work, cell, "length", False, whole):
+            got |= {(int(a), way, int(b)): float(c) for a, b, c in zip(s, node, cost)}
+    want: dict = {}
+    for s in range(50):
+        nodes, types, steps = (x or [] for x in limits[s])
+        shut = {(e["u"], e["v"]) for e in steps}
+        free = lambda u, e: e[0] not in nodes and e[3] not in types and (u, e[0]) not in shut
+        settled, leave = cells.follow([(c, (n,)) for i, n, c in entries if i == s], out, 0, free, None, None, False)
+        want |= {(s, 2, n): c for n, (c, _) in settled.items()} | {(s, 0, n): c for n, (c, _) in leave.items()}
+    assert got == want
+
+
+def test_searches_with_constraints_answer_alike_from_both_ends(spark):
+    rng = random.Random(12)
+    ways = [(*w, rng.choice(["local", "expressway"])) for w in _graph(rng, 40)]
+    adj = spark.createDataFrame(ways, "src long, dst long, length double, road_type string")
+    nodes = spark.createDataFrame([(i,) for i in range(41)], "id long")
+    rows = []
+    for i in range(40):
+        u, v = rng.randrange(40), rng.randrange(41)
+        on = rng.sample([w for w in ways if w[0] == u] + ways, 6)
+        rows.append((i, u, v, rng.sample(range(40), 3) if i % 2 else None, ["expressway"] if i % 5 == 0 else None, [{"u": w[0], "v": w[1]} for w in on] if i % 3 else None))
+    asked = spark.createDataFrame(rows, "search_id long, source long, target long, forbidden_nodes array<long>, forbidden_road_types array<string>, forbidden_edges array<struct<u:long,v:long>>")
+    where = cells.assign(nodes, 9)
+    plain, far = ({r["search_id"]: (r["possible"], r["path"], r["cost"]) for r in search.shortest_paths(nodes, adj, asked, where=where, far=f).collect()} for f in (False, True))
+    assert far == plain and 5 < sum(r[0] for r in far.values()) < 40
