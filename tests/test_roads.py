@@ -359,3 +359,14 @@ def test_all_requests_of_a_log_see_the_graph_as_of_their_place(spark):
     assert got[21]["paths"] == [] == got[22]["paths"] and got[23]["distances"][0]["approx_shortest_distance"] == -1.0
     assert got[24]["assignments"][0]["order_ids"] == [] and got[24]["metrics"]["total_delivery_time_s"] == 0.0
     assert got[10]["done"] and got[20]["removed"]
+
+
+def test_map_data_is_dealt_by_its_steps(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "TASK_ROWS", 10)
+    places = spark.createDataFrame([(i, 19.0 + i * 0.001, 72.0) for i in range(60)], "id long, lat double, lon double")
+    ways = spark.createDataFrame([(i, {"highway": "residential"}, [i, i + 1, i + 2]) for i in range(58)], "id long, tags map<string,string>, nodes array<long>").coalesce(1)
+    assert ingest.tasks_of(ways) == 18
+    segments = ingest.way_segments(ways, places)
+    nodes, edges = ingest.build_graph(places, ways)
+    assert sorted((r["id"], r["osm_id"]) for r in nodes.collect()) == [(i, i) for i in range(60)]
+    assert sorted((r["id"], r["u"], r["v"]) for r in edges.collect()) == [(n, *e) for n, e in enumerate(sorted({(i, j) for r in segments.collect() for i, j in ((r["u"], r["v"]), (r["v"], r["u"]))}))]

@@ -14,6 +14,15 @@ ROAD_TYPES = {"motorway": "expressway", "trunk": "expressway", "primary": "prima
 SPEEDS = {"expressway": 27.78, "primary": 16.67, "secondary": 13.89, "tertiary": 11.11, "local": 8.33}
 ONE_WAY = ("yes", "true", "1")
 
+#: Steps of ways that a task sorts, about, and rows of a range that is numbered.
+TASK_ROWS = 250_000
+
+
+def tasks_of(ways: DataFrame) -> int:
+    """How many tasks the steps of ``ways`` are dealt over: a row of a small file may become many, so bytes do not tell."""
+    rows = ways.agg(F.sum(F.size("nodes"))).first()[0] or 0
+    return max(int(ways.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
 
 def _map(values: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
@@ -37,10 +46,10 @@ def densify_ids(nodes: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = nodes.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = graph.cut(nodes.repartitionByRange(n, "id").withColumn("_p", F.spark_partition_id()))
+    at = F.monotonically_increasing_id()
+    ranged = graph.cut(nodes.repartitionByRange(n, "id").sortWithinPartitions("id").withColumn("_p", F.shiftright(at, 33)).withColumn("_r", at.bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).selectExpr("_p", "sum(_n) over (order by _p) - _n as _first")
-    rank = F.expr("row_number() over (partition by _p order by id) - 1")
-    return ranged.withColumn("_r", rank).join(F.broadcast(sizes), "_p").withColumn("new_id", (F.col("_first") + F.col("_r")).cast("long")).drop("_p", "_r", "_first")
+    return ranged.join(F.broadcast(sizes), "_p").withColumn("new_id", (F.col("_first") + F.col("_r")).cast("long")).drop("_p", "_r", "_first")
 
 
 def road_type(highway: Column) -> Column:
@@ -80,7 +89,7 @@ def directed_records(segments: DataFrame) -> DataFrame:
 
 
 def dedup_first(records: DataFrame) -> DataFrame:
-    """Of the records of one (u, v), the first by way, position and direction."""
+    """Of the records of one (u, v), the first by way, position and direction; records dealt by u and v stay where they are."""
     rest = [c for c in records.columns if c not in ("u", "v")]
     first = F.min_by(F.struct(*rest), F.struct("way_id", "pos", "dir"))
     return records.groupBy("u", "v").agg(first.alias("_r")).select("u", "v", "_r.*")
@@ -95,12 +104,14 @@ def speed_profile(kind: Column, key: Column, slots: int = 96) -> Column:
 def build_graph(osm_nodes: DataFrame, osm_ways: DataFrame, min_m: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, lat, lon, pois, osm_id) and edges of a road graph from saved map data."""
     ways = filter_ways(osm_ways)
-    placed = graph.cut(densify_ids(road_nodes(ways, osm_nodes.dropDuplicates(["id"]))))
+    tasks = tasks_of(ways)
+    ways = ways.repartition(tasks, "id")
+    placed = graph.cut(densify_ids(road_nodes(ways, osm_nodes.dropDuplicates(["id"])), tasks))
     segments = segment_lengths(way_segments(ways, placed.select("id", "lat", "lon")), min_m)
-    records = dedup_first(directed_records(segments.withColumn("road_type", road_type(F.col("highway")))))
+    records = dedup_first(directed_records(segments.withColumn("road_type", road_type(F.col("highway")))).repartition(tasks, "u", "v"))
     new = lambda k: placed.select(F.col("id").alias(k), F.col("new_id").alias(f"n_{k}"))
     joined = records.join(new("u"), "u").join(new("v"), "v")
-    numbered = densify_ids(joined.withColumn("id", F.struct("n_u", "n_v"))).drop("id")
+    numbered = densify_ids(joined.withColumn("id", F.struct("n_u", "n_v")), tasks).drop("id")
     rounded = F.round("length", 3)
     edges = numbered.select(
         F.col("new_id").alias("id"), F.col("n_u").alias("u"), F.col("n_v").alias("v"), rounded.alias("length"),
