@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from wayloom.operators import cells, search
+from wayloom.operators import cells, graph, search
 
 
 def _town(rng, side):
@@ -63,3 +63,13 @@ def test_searches_over_short_ways_need_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(cells, "rounds", None)
     got = _answers(search.shortest_paths(nodes, adj, asked))
     assert got == {i: (True, list(range(i * 9, i * 9 + 8)), 7.0) for i in range(40)}
+
+
+def test_profiles_of_a_log_are_numbers_of_lists_met_once(spark):
+    edges = spark.createDataFrame([(i, [1.0, 2.0] if i % 2 else [3.0]) for i in range(6)] + [(6, None)], "id long, speed_profile array<double>")
+    changes = spark.createDataFrame([(0, [3.0]), (1, None), (2, [])], "edge_id long, p_speed_profile array<double>")
+    told, patched, lists = graph.profile_ids(edges, changes)
+    known = {r["profile"]: r["speed_profile"] for r in lists.collect()}
+    assert len(known) == 3 and dict(told.dtypes)["speed_profile"] == dict(patched.dtypes)["p_speed_profile"] == "bigint"
+    assert {r["id"]: known.get(r["speed_profile"]) for r in told.collect()} == {i: [1.0, 2.0] if i % 2 else [3.0] for i in range(6)} | {6: None}
+    assert {r["edge_id"]: known.get(r["p_speed_profile"]) for r in patched.collect()} == {0: [3.0], 1: None, 2: []}
